@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rans, sp_fst, token_counts
+from pyspark.sql import functions as F
+
+from . import decontam, langid, licenses, media, ngram_join, rans, sp_fst, suffix_dedup, token_counts, toxicity
 from .common import documents
 
 
@@ -20,6 +22,21 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(documents(spark, sf_dir))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(documents(spark, sf_dir))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: each source is a tree, with a directory for each thousand ids."""
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = documents(spark, sf_dir).select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+    return licenses.license_scan(files).withColumnRenamed("file_id", "doc_id")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_fst.round_trip(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
@@ -28,5 +45,35 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_files(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op5_sentencepiece, op6_token_files)}
-ORACLES: dict[str, str] = {}
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.train(docs))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(documents(spark, sf_dir))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_ALL = (
+    op1_token_counts,
+    op2_suffix_dedup,
+    op3_ngram_join,
+    op4_license_scan,
+    op5_sentencepiece,
+    op6_token_files,
+    op7_language_id,
+    op8_toxicity,
+    op9_media_columns,
+    op10_decontamination,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op3_ngram_join": ngram_join.ORACLE, "op10_decontamination": decontam.ORACLE}
