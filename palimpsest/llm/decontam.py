@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from palimpsest.session import stored
 
 WINDOW = 10
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word of a text whose capitals are not yet lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 100_000
 BUCKETS = 1 << 16
 _KEY = ["d", "h"]
@@ -52,7 +53,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """item_id, q (the window's hash), len, terms of each distinct window of each item."""
-    w = items.select("item_id", words(ascii_lower(F.col("text"))).alias("w")).filter(F.size("w") > 0)
+    w = items.select("item_id", F.transform(words(F.col("text")), ascii_lower).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     cut = w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, F.lit(size)))).alias("terms"))
     return cut.select("item_id", F.xxhash64("terms").alias("q"), F.size("terms").alias("len"), "terms").distinct()
@@ -69,10 +70,9 @@ def build_index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     vocabulary = terms.select("term", "t").distinct().withColumn("folded", F.lower("term"))
     tokens = _keyed(docs).select(*_KEY, F.posexplode(words(F.col("text"))).alias("pos", "word"))
     met = tokens.join(_small(vocabulary, n_terms), F.lower("word") == F.col("folded"))
-    # lower() also folds letters beyond ASCII; such a word must agree but for A-Z
-    exact = met.filter((F.octet_length("word") == F.char_length("word")) | (ascii_lower(F.col("word")) == F.col("term")))
-    ascii_term = F.octet_length("term") == F.char_length("term")
-    return stored(exact.filter(ascii_term | (ascii_lower(F.col("word")) == F.col("term"))).select(*_KEY, "pos", "t"), "postings")
+    # lower() also folds letters beyond ASCII; words with such must agree but for A-Z
+    plain = (F.octet_length("word") == F.char_length("word")) & (F.octet_length("term") == F.char_length("term"))
+    return stored(met.filter(plain | (ascii_lower(F.col("word")) == F.col("term"))).select(*_KEY, "pos", "t"), "postings")
 
 
 def rank_terms(terms: DataFrame, postings: DataFrame) -> DataFrame:
@@ -145,8 +145,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     hit = spans.select(*_KEY, covered.cast("long").alias("n_hit"))
     of_items = found.select(*_KEY, "q").distinct().join(wins.select("q", "item_id"), "q").groupBy(*_KEY).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     rows = _keyed(docs).select("doc_id", *_KEY, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    out = rows.join(hit, _KEY_null_safe(rows, hit), "left").drop(hit["d"], hit["h"])
-    out = out.join(of_items, _KEY_null_safe(out, of_items), "left")
+    out = rows.join(hit, _same(rows, hit), "left").drop(hit["d"], hit["h"])
+    out = out.join(of_items, _same(out, of_items), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         "doc_id",
@@ -158,7 +158,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     )
 
 
-def _KEY_null_safe(a: DataFrame, b: DataFrame) -> Column:
+def _same(a: DataFrame, b: DataFrame) -> Column:
     return (a["d"] == b["d"]) & (a["h"] == b["h"])
 
 

@@ -64,7 +64,8 @@ def shingles(raw: bytes | None, size: int = SHINGLE) -> np.ndarray:
 
 def signature(tokens: np.ndarray) -> int:
     """A set's hash, as a signed 64-bit number."""
-    return int(mix(np.array([tokens.sum(dtype=_U) + _U(len(tokens)) * _MIX[0], np.bitwise_xor.reduce(mix(tokens))], _U)).sum(dtype=_U).view(np.int64))
+    parts = np.array([tokens.sum(dtype=_U), np.bitwise_xor.reduce(mix(tokens)), len(tokens)], _U)
+    return int(mix(parts * np.array([1, 3, 5], _U) + _MIX[0]).sum(dtype=_U).view(np.int64))
 
 
 def linked(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> bool:
@@ -315,11 +316,12 @@ def _verified(pairs: DataFrame, may: DataFrame) -> DataFrame:
     """The pairs a, b, ... whose sets link."""
     side = lambda x: may.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("toks").alias(f"toks_{x}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select(*pairs.columns, "n_a", "toks_a", "n_b", "toks_b")
-    k = len(pairs.columns)
+    names = pairs.columns
+    k = len(names)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ok = [linked(np.frombuffer(x, _U), m, np.frombuffer(y, _U), n) for m, x, n, y in zip(*(b.column(k + i).to_pylist() for i in range(4)), strict=True)]
-        return pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok, pa.bool_())) for i in range(k)], pairs.columns)
+        return pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok, pa.bool_())) for i in range(k)], names)
 
     return per_batch(rows, run, pairs.schema)
 
