@@ -1,14 +1,16 @@
 """Operator 7, language identification by compression.
 
-Each language has a raw-content zstandard dictionary, made of whole training texts. A text is compressed, in pieces of PIECE
-bytes, once with each dictionary; the language whose pieces are smallest together is predicted. Its score is the share of
-exp(-TEMPER * size) among the languages. A prediction whose margin to the second language is narrow is marked rejected.
+Each language has a raw-content zstandard dictionary, made of training texts. A text, lower-cased and without what is no letter,
+is compressed in pieces of PIECE bytes, once with each dictionary; the language whose pieces are smallest together is predicted.
+Its score is the share of exp(-TEMPER * size) among the languages. A prediction is marked rejected if its margin to the second
+language is narrow: below MARGIN of the second size, in a text of at least LONG bytes. In less, a few bytes of compressed size
+do not tell a narrow margin from a short text, and such texts are not rejected.
 
 Training takes, for each language, the SAMPLE documents of smallest hash among those with a language outside the held-out
 fold; a dictionary holds at most DICTIONARY bytes. Nothing but the text goes into a prediction.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; a null doc_id belongs to the held-out
-fold; ties go to the language that sorts first; repeated rows are predicted row by row; an empty table gives an empty table;
+fold; ties go to the language with most training texts; repeated rows are predicted row by row; an empty table gives an empty table;
 without any learned language all rows are `und`; other columns are ignored.
 """
 
@@ -29,15 +31,22 @@ from .common import fold_of, per_batch
 SAMPLE = 300
 DICTIONARY = 96 * 1024
 PIECE = 2048
-LEVEL = 3
+LEVEL = 6
 TEMPER = 0.35
-#: A margin below this share of the second size, and below this many bytes, is narrow.
-MARGIN, MARGIN_BYTES = 0.004, 1
-_LETTER = re.compile(r"[^\W\d_]")
+MARGIN, LONG = 0.02, 256
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def normal(text: str) -> bytes:
+    """A text's lower-cased words with a blank before and after each; empty without a letter."""
+    x = _NO_LETTERS.sub(" ", text.lower()).strip()
+    return f" {x} ".encode() if x else b""
 
 
 @dataclass(frozen=True)
 class Model:
+    """Languages, the most frequent first, and their dictionaries."""
+
     langs: tuple[str, ...]
     dictionaries: tuple[bytes, ...]
 
@@ -53,7 +62,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> Mode
     # a dictionary holds at most `size` bytes, so more of one text has no use there
     for n, lang, text in texts.select("n", "lang", F.substring("text", 1, size).alias("text")).distinct().collect():
         by_lang.setdefault(lang, []).append((n, text))
-    langs = tuple(sorted(by_lang))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    langs = tuple(sorted(by_lang, key=lambda x: (-counts.get(x, 0), x)))
     return Model(langs, tuple(_dictionary([t for _, t in sorted(by_lang[x])], size) for x in langs))
 
 
@@ -61,7 +71,7 @@ def _dictionary(texts: list[str], size: int) -> bytes:
     """An equal share of the dictionary for each text, as far as it goes."""
     out, left = [], size
     for k, t in enumerate(texts):
-        raw = t.encode()[: max(256, left // max(1, len(texts) - k))]
+        raw = normal(t)[: max(256, left // max(1, len(texts) - k))]
         raw = raw[:left]
         out.append(raw)
         left -= len(raw)
@@ -88,16 +98,16 @@ def sizes(model: Model, raw: bytes) -> np.ndarray:
 
 def decide(model: Model, text: str | None) -> tuple[str, float, bool]:
     """Language, score and whether the margin is too narrow."""
-    if not text or not model.langs or not _LETTER.search(text):
+    raw = normal(text) if text and model.langs else b""
+    if not raw:
         return "und", 0.0, True
-    s = sizes(model, text.encode())
+    s = sizes(model, raw)
     best = int(s.argmin())
     score = float(1 / np.exp(np.maximum(-700.0, TEMPER * (s[best] - s))).sum())
     if len(s) == 1:
         return model.langs[0], score, False
     second = int(np.partition(s, 1)[1])
-    margin = second - int(s[best])
-    return model.langs[best], score, margin < max(MARGIN_BYTES, MARGIN * second)
+    return model.langs[best], score, len(raw) >= LONG and second - int(s[best]) < MARGIN * second
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operator 8, toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is the logistic of the summed weights of its words; a document's is the
+A document is a bag of sentences. A sentence's score is the logistic of the summed weights of its distinct
+words (a word's weight is that of itself and of its beginnings, so that inflected forms count); a document's is the
 noisy-or of its sentences, 1 - prod(1 - score). Weights are learned from document labels alone, by gradient ascent on the
 documents' likelihood through the noisy-or, and then locate the offending sentences.
 
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import Memo, fold_of, in_slices, per_batch
 
-POSITIVES, NEGATIVES = 3000, 5000
+POSITIVES, NEGATIVES = 2000, 3000
 MIN_DOCUMENTS = 3
-ROUNDS, RATE, DECAY = 150, 0.15, 2e-4
+ROUNDS, RATE, DECAY = 200, 0.1, 1e-4
+#: Lengths of the beginnings of words that are features beside the words themselves.
+PREFIX = (3, 9)
 #: Sentences end at these, in a row or alone.
 _END = "[.!?\\n]+"
 _TRIM = re.compile(r"^\W+|\W+$")
@@ -53,15 +56,35 @@ def sentences(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(), first(by_sentence), first(by_text)
 
 
+def parts_of(word: str) -> list[str]:
+    """The features of a word: itself and its beginnings."""
+    return [f"{word}$", *(word[:n] for n in range(PREFIX[0], min(PREFIX[1], len(word)) + 1))] if word else []
+
+
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0.0], np.cumsum(values)])[starts])
 
 
+def _once(codes: np.ndarray, in_sentence: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sentence and word of each distinct word of a sentence."""
+    sentence = np.repeat(np.arange(len(in_sentence) - 1), np.diff(in_sentence))
+    pairs = np.unique(sentence * max(1, n_words) + codes)
+    return pairs // max(1, n_words), pairs % max(1, n_words)
+
+
 def sentence_logits(model: Model, texts: pa.Array, known: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Logit of each sentence, and where each text's sentences start."""
-    words, codes, in_sentence, in_text = sentences(texts)
-    w = np.array([known[x] for x in words], np.float64)
-    return model.bias + _sums(w[codes], in_sentence), in_text
+    """Logit of each sentence, and where each text's sentences start. A word counts once a sentence, however it is written."""
+    raw, codes, in_sentence, in_text = sentences(texts)
+    weight = np.array([known[x] for x in raw], np.float64)
+    hit = np.flatnonzero(weight[codes] != 0)  # others add nothing
+    of_raw: dict[str, int] = {}
+    word = np.array([of_raw.setdefault(word_of(x), len(of_raw)) if w else -1 for x, w in zip(raw, weight.tolist(), strict=True)], np.int64)
+    value = np.zeros(len(of_raw))
+    value[word[weight != 0]] = weight[weight != 0]
+    sentence = np.searchsorted(in_sentence, hit, "right") - 1
+    pairs = np.unique(sentence * max(1, len(of_raw)) + word[codes[hit]])
+    logits = np.bincount(pairs // max(1, len(of_raw)), value[pairs % max(1, len(of_raw))] if len(pairs) else None, len(in_sentence) - 1)
+    return model.bias + logits, in_text
 
 
 def document_scores(logits: np.ndarray, in_text: np.ndarray) -> np.ndarray:
@@ -85,36 +108,48 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return Model({}, float(np.log(share / (1 - share))))
     raw, codes, in_sentence, in_text = sentences(pa.array([t for t, _ in rows], pa.string()))
-    of_raw, names = np.unique([word_of(x) for x in raw], return_inverse=True)[::-1]
-    word = of_raw[codes]
-    sentence = np.repeat(np.arange(len(in_sentence) - 1), np.diff(in_sentence))
+    names, of_raw = np.unique([word_of(x) for x in raw], return_inverse=True)
+    sentence, word = _once(of_raw[codes], in_sentence, len(names))
     doc = np.repeat(np.arange(len(in_text) - 1), np.diff(in_text))
-    pairs = np.unique(doc[sentence].astype(np.int64) * len(names) + word)
-    common = np.bincount(pairs % len(names), minlength=len(names)) >= MIN_DOCUMENTS
-    common[names == ""] = False
-    place = np.cumsum(common) - 1
-    keep = common[word]
-    word, sentence = place[word[keep]], sentence[keep]
-    n_words, n_sentences = int(common.sum()), len(in_sentence) - 1
-    weights, bias = np.zeros(n_words + 1), np.zeros(1)
-    bias[0] = np.log(0.1 / max(1.0, n_sentences / len(y)))
-    theta = np.concatenate([weights, bias])
+    # the features of each word, and the documents of each feature
+    place: dict[str, int] = {}
+    of_word, feature = [], []
+    for i, w in enumerate(names.tolist()):
+        for f in parts_of(w):
+            of_word.append(i)
+            feature.append(place.setdefault(f, len(place)))
+    of_word, feature = np.array(of_word, np.int64), np.array(feature, np.int64)
+    first = np.searchsorted(of_word, np.arange(len(names) + 1))
+    counts = np.zeros(len(place), np.int64)
+    of_doc = np.searchsorted(sentence, in_text)
+    for lo, hi in zip(of_doc, of_doc[1:], strict=False):
+        own = np.unique(word[lo:hi])
+        counts[np.unique(np.concatenate([np.empty(0, np.int64), *(feature[first[w] : first[w + 1]] for w in own.tolist())]))] += 1
+    common = counts >= MIN_DOCUMENTS
+    keep = common[feature]
+    of_word, feature = of_word[keep], (np.cumsum(common) - 1)[feature[keep]]
+    kept = [f for f, c in zip(place, common.tolist(), strict=True) if c]
+    n_features, n_sentences = len(kept), len(in_sentence) - 1
+    theta = np.zeros(n_features + 1)
+    theta[-1] = np.log(0.1 / max(1.0, n_sentences / len(y)))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     for k in range(1, ROUNDS + 1):
-        z = theta[-1] + np.bincount(sentence, theta[word], n_sentences)
+        of_names = np.bincount(of_word, theta[feature], len(names))
+        z = theta[-1] + np.bincount(sentence, of_names[word], n_sentences)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         survive = np.exp(-_sums(np.logaddexp(0, z), in_text))
         # d log-likelihood / d logit: -p for label 0; p * survive / (1 - survive) for label 1
-        pull = np.where(y == 1, survive / np.maximum(1 - survive, 1e-9), -1.0) * balance
+        pull = np.where(y == 1, survive / np.maximum(1 - survive, 1e-9), -1.0)
         g = pull[doc] * p / len(y)
-        grad = np.concatenate([np.bincount(word, g[sentence], n_words + 1), [g.sum()]])
-        grad[:-1] -= DECAY * theta[:-1] / 10
+        by_word = np.bincount(word, g[sentence], len(names))
+        grad = np.concatenate([np.bincount(feature, by_word[of_word], n_features), [g.sum()]])
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
-        theta += RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    held = names[common]
-    return Model({str(held[i]): float(theta[i]) for i in range(n_words) if abs(theta[i]) > 1e-3}, float(theta[-1]))
+        step = RATE / (np.sqrt(v / (1 - 0.999**k)) + 1e-6)
+        theta += step * m / (1 - 0.9**k)
+        # weights that earn less than DECAY go to nothing
+        theta[:-1] = np.sign(theta[:-1]) * np.maximum(0, np.abs(theta[:-1]) - step[:-1] * DECAY)
+    return Model({f: float(w) for f, w in zip(kept, theta.tolist(), strict=False) if abs(w) > 1e-3}, float(theta[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES) -> Model:
@@ -122,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
 
 
 def _known(model: Model) -> Memo:
-    return Memo(lambda raw: model.weights.get(word_of(raw), 0.0))
+    return Memo(lambda raw: sum(model.weights.get(f, 0.0) for f in parts_of(word_of(raw))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
