@@ -1,10 +1,554 @@
-"""Queries over the driver's tables, each with its DuckDB counterpart."""
+"""Queries over the driver's tables, each with its DuckDB counterpart.
+
+Where white space or word characters matter, both sides use classes that mean the same in both engines. Composition (NFC) is
+left out, as it is an Arrow function and the tables hold composed text.
+"""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from palimpsest.functions import geometry as G
+from palimpsest.functions import quality as Q
+from palimpsest.functions import similarity as S
+from palimpsest.functions import text as X
+from palimpsest.operators import align, classify, lines, matching, metrics
+from palimpsest.operators import fuse as fusion
+from palimpsest.session import ship_package
+from palimpsest.sources.fixtures import PAGE_HEIGHT, PAGE_WIDTH, SQL_ALIGNED, SQL_BOXES, SQL_LINES, aligned_lines, doc_lines, line_boxes, pairs, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        @functools.wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            ship_package(spark)
+            return f(spark, d)
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return doc_lines(_docs(spark, d).select("doc_id", "text"))
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    return line_boxes(_lines(spark, d))
+
+
+def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    rows = _lines(spark, d)
+    return aligned_lines(rows, pairs(rows))
+
+
+def _norm(c: str):
+    return X.normalize_text(c, compose=False)
+
+
+#: normalize_text() in SQL.
+def _sql_norm(c: str) -> str:
+    return rf"trim(regexp_replace(lower(coalesce({c}, '')), '\s+', ' ', 'g'))"
+
+
+_PLAIN = X.NormalizationConfig(nfc_normalize=False)
+
+
+def _sql_compare(c: str, lower: bool = True, marks: bool = True) -> str:
+    """normalize_compare() in SQL; marks: with quotes and dashes."""
+    out = rf"regexp_replace(coalesce({c}, ''), '-\s*[\n\r]+\s*', '', 'g')"
+    out = f"translate({out}, '{X.SPACES_ALL}', '{' ' * len(X.SPACES_ALL)}')"
+    out = f"translate({out}, '{X.ZERO_WIDTH}', '')"
+    if marks:
+        out = f"translate({out}, '{X.SINGLE_QUOTES}`{X.DOUBLE_QUOTES}', repeat('''', {len(X.SINGLE_QUOTES) + 1}) || repeat('\"', {len(X.DOUBLE_QUOTES)}))"
+        out = f"regexp_replace(translate({out}, '{X.DASHES_ALL}', '{'-' * len(X.DASHES_ALL)}'), '-{{2,}}', '-', 'g')"
+    out = rf"regexp_replace({out}, '\s+', ' ', 'g')"
+    return f"trim({'lower' if lower else ''}({out}))"
+
+
+def _r(c, places: int = 6):
+    return F.round(c, places)
+
+
+# --- text ------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {_sql_norm('text')} AS norm FROM documents")
+def q01_normalise_basic(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", _norm("text").alias("norm"))
+
+
+@query(f"SELECT doc_id, {_sql_compare('text')} AS norm FROM documents")
+def q02_normalise_dash_quote(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", X.normalize_compare("text", _PLAIN).alias("norm"))
+
+
+@query(rf"WITH {SQL_LINES} SELECT canon, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, regexp_replace({_sql_norm('line')}, '[0-9]+', '{{#}}', 'g') AS canon FROM doc_lines) WHERE canon <> '' GROUP BY canon")
+def q03_digits_template(spark: SparkSession, d: str) -> DataFrame:
+    rows = _lines(spark, d).select("doc_id", X.grouping_text("line").alias("canon")).filter("canon <> ''")
+    return rows.groupBy("canon").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query(f"WITH {SQL_LINES} SELECT sha1({_sql_norm('line')}) AS fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM doc_lines GROUP BY 1 HAVING count(*) >= 2")
+def q04_line_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    rows = _lines(spark, d).select("doc_id", X.fingerprint(_norm("line")).alias("fingerprint"))
+    return rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).filter("n >= 2")
+
+
+@query(f"WITH {SQL_LINES} SELECT doc_id, page_num, substr(md5(coalesce(string_agg(norm, chr(10) ORDER BY line_no) FILTER (norm <> ''), '')), 1, 12) AS checksum FROM (SELECT *, {_sql_norm('line')} AS norm FROM doc_lines) GROUP BY doc_id, page_num")
+def q05_page_checksum(spark: SparkSession, d: str) -> DataFrame:
+    rows = _lines(spark, d).withColumn("norm", _norm("line"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "norm"))), lambda x: x["norm"])
+    return rows.groupBy("doc_id", "page_num").agg(G.text_checksum(ordered).alias("checksum"))
+
+
+@query(
+    f"WITH {SQL_ALIGNED} SELECT kind, count(*) AS n FROM (SELECT CASE WHEN old_text = new_text THEN 'identical' WHEN {_sql_compare('old_text')} <> {_sql_compare('new_text')} THEN 'content' "
+    f"WHEN {_sql_compare('old_text', False, False)} = {_sql_compare('new_text', False, False)} THEN 'whitespace_only' ELSE 'formatting_only' END AS kind FROM aligned WHERE old_text IS NOT NULL AND new_text IS NOT NULL) GROUP BY kind"
+)
+def q06_text_class_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = _aligned(spark, d).filter("old_text is not null and new_text is not null")
+    ws = X.replace(_PLAIN.whitespace_only(), nfc_normalize=False)
+    a, b = F.col("old_text"), F.col("new_text")
+    kind = (
+        F.when(a == b, "identical")
+        .when(X.normalize_compare(a, _PLAIN) != X.normalize_compare(b, _PLAIN), "content")
+        .when(X.normalize_compare(a, ws) == X.normalize_compare(b, ws), "whitespace_only")
+        .otherwise("formatting_only")
+    )
+    return rows.select(kind.alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SQL_BARE = r"regexp_replace(coalesce({c}, ''), '[^\p{{L}}\p{{N}}_]', '', 'g')"
+
+
+@query(f"WITH {SQL_ALIGNED} SELECT pair_id, count(*) AS n, count(*) FILTER ({_SQL_BARE.format(c='old_text')} <> {_SQL_BARE.format(c='new_text')}) AS n_content FROM aligned GROUP BY pair_id")
+def q07_content_difference(spark: SparkSession, d: str) -> DataFrame:
+    return _aligned(spark, d).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(S.content_differs("old_text", "new_text")).alias("n_content"))
+
+
+_SQL_TOKENS = r"list_filter(string_split_regex(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda x: x <> '')"
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, trim(text, E' \t\n\r\f') AS t FROM documents)
+    SELECT doc_id, length(t) AS n, round(len(regexp_extract_all(t, '[\p{{L}}\p{{N}}]')) / greatest(length(t), 1), 6) AS alnum,
+    round(length(array_to_string(regexp_extract_all(t, 'https?://\S+|www\.\S+'), '')) / greatest(length(t), 1), 6) AS url FROM t"""
+)
+def q08_quality_ratios(spark: SparkSession, d: str) -> DataFrame:
+    m = Q.ocr_text_metrics("text")
+    return _docs(spark, d).select("doc_id", m.alias("m")).select("doc_id", F.col("m.n").cast("bigint").alias("n"), _r("m.alnum").alias("alnum"), _r("m.url").alias("url"))
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {_SQL_TOKENS} AS w FROM documents),
+    c AS (SELECT doc_id, max(k) AS top FROM (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(w) AS w FROM t) GROUP BY doc_id, w) GROUP BY doc_id)
+    SELECT t.doc_id, round(coalesce(top, 0) / greatest(len(w), 1), 6) AS top_share, coalesce(top, 0) / greatest(len(w), 1) > 0.4 AS dominated FROM t LEFT JOIN c USING (doc_id)"""
+)
+def q09_repetition_gate(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d).select("doc_id", Q.repetition_ratio("text").alias("share"))
+    return rows.select("doc_id", _r("share").alias("top_share"), (F.col("share") > 0.4).alias("dominated"))
+
+
+# --- geometry and hashes -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SQL_BOXES} SELECT doc_id, line_no, round(x / 612, 6) AS x, round(y / 792, 6) AS y, round(least(width / 612, 1 - x / 612), 6) AS width, round(least(height / 792, 1 - y / 792), 6) AS height FROM boxes")
+def q10_bbox_normalise(spark: SparkSession, d: str) -> DataFrame:
+    rows = _boxes(spark, d).withColumn("n", G.normalized_box("bbox", F.lit(PAGE_WIDTH), F.lit(PAGE_HEIGHT)))
+    return rows.select("doc_id", "line_no", *(_r(f"n.{k}").alias(k) for k in ("x", "y", "width", "height")))
+
+
+@query(
+    f"""WITH {SQL_BOXES}, n AS (SELECT *, lead(x) OVER w AS x2, lead(y - 7) OVER w AS y2, lead(width) OVER w AS w2, lead(height) OVER w AS h2 FROM boxes WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY line_no)),
+    i AS (SELECT doc_id, line_no, greatest(0, least(x + width, x2 + w2) - greatest(x, x2)) * greatest(0, least(y + height, y2 + h2) - greatest(y, y2)) AS i, width * height AS a, w2 * h2 AS b FROM n WHERE x2 IS NOT NULL)
+    SELECT doc_id, line_no, round(CASE WHEN i > 0 AND a + b - i > 0 THEN i / (a + b - i) ELSE 0 END, 6) AS iou FROM i"""
+)
+def q11_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each line's box with the next one's, drawn up by half a line."""
+    after = F.lead("bbox").over(Window.partitionBy("doc_id", "page_num").orderBy("line_no"))
+    rows = _boxes(spark, d).withColumn("after", after).filter("after is not null")
+    up = F.col("after").withField("y", F.col("after.y") - 7)
+    return rows.select("doc_id", "line_no", _r(G.iou("bbox", up)).alias("iou"))
+
+
+@query(
+    "SELECT doc_id, CAST(bit_count(xor(CAST('0x' || substr(a, 1, 8) AS BIGINT), CAST('0x' || substr(b, 1, 8) AS BIGINT))) + bit_count(xor(CAST('0x' || substr(a, 9, 8) AS BIGINT), CAST('0x' || substr(b, 9, 8) AS BIGINT))) AS INTEGER) AS distance "
+    "FROM (SELECT doc_id, md5(text) AS a, md5(lower(text)) AS b FROM documents)"
+)
+def q12_hamming(spark: SparkSession, d: str) -> DataFrame:
+    half = lambda c: F.substring(F.md5(c), 1, 16)
+    return _docs(spark, d).select("doc_id", G.hamming(half(F.col("text")), half(F.lower("text"))).alias("distance"))
+
+
+_SQL_GRAMS = "list_distinct(list_transform(range(1, greatest(length(t{s}) - 2, 0) + 1), lambda i: substr(t{s}, i, 3)))"
+
+
+@query(
+    f"""WITH {SQL_ALIGNED}, t AS (SELECT pair_id, line_no, lower(trim(old_text)) AS ta, lower(trim(new_text)) AS tb FROM aligned WHERE old_text IS NOT NULL AND new_text IS NOT NULL AND old_text <> new_text),
+    g AS (SELECT pair_id, line_no, {_SQL_GRAMS.format(s='a')} AS a, {_SQL_GRAMS.format(s='b')} AS b FROM t)
+    SELECT pair_id, line_no, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END, 6) AS jaccard FROM g"""
+)
+def q13_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    rows = _aligned(spark, d).filter("old_text is not null and new_text is not null and old_text <> new_text")
+    return rows.select("pair_id", "line_no", _r(S.jaccard(S.char_ngrams("old_text"), S.char_ngrams("new_text"))).alias("jaccard"))
+
+
+@query(
+    f"""WITH {SQL_ALIGNED}, t AS (SELECT *, lower(trim(old_text)) AS ta, lower(trim(new_text)) AS tb FROM aligned WHERE old_text IS NOT NULL AND new_text IS NOT NULL),
+    g AS (SELECT *, {_SQL_GRAMS.format(s='a')} AS a, {_SQL_GRAMS.format(s='b')} AS b, length(old_text) AS la, length(new_text) AS lb FROM t)
+    SELECT reason, count(*) AS n FROM (SELECT CASE WHEN NOT (CASE WHEN la = 0 AND lb = 0 THEN true WHEN la = 0 OR lb = 0 THEN false ELSE greatest(la, lb) / least(la, lb) <= 3 END) THEN 'length_ratio'
+      WHEN (CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END) < 0.2 THEN 'ngram' ELSE 'candidate' END AS reason FROM g) GROUP BY reason"""
+)
+def q14_candidate_prefilter(spark: SparkSession, d: str) -> DataFrame:
+    rows = _aligned(spark, d).filter("old_text is not null and new_text is not null")
+    reason = align.skip_reason(F.col("old_text"), F.col("new_text"), exact_ngrams=True)
+    return rows.select(reason.alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SQL_PAGES = f"""{SQL_ALIGNED},
+pg AS (SELECT doc_id, page_num - 1 AS idx, list_distinct(list_filter(flatten(list(string_split(lower(regexp_replace(line, '\\s+', ' ', 'g')), ' '))), lambda x: x <> '')) AS w FROM doc_lines GROUP BY doc_id, page_num),
+n AS (SELECT doc_id, count(*) AS n FROM pg GROUP BY doc_id)"""
+
+
+@query(
+    f"""WITH {_SQL_PAGES} SELECT pair_id, pg.idx AS idx_a, CAST(least(pg.idx, nb.n - 1) AS INTEGER) AS idx_b, CASE WHEN na.n = nb.n THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS confidence
+    FROM pairs JOIN pg ON pg.doc_id = doc_a JOIN n na ON na.doc_id = doc_a JOIN n nb ON nb.doc_id = doc_b"""
+)
+def q15_page_align_positional(spark: SparkSession, d: str) -> DataFrame:
+    rows = _lines(spark, d)
+    return align.align_pages(align.page_words(rows), pairs(rows), use_similarity=False).select("pair_id", "idx_a", "idx_b", "confidence")
+
+
+@query(
+    f"""WITH {_SQL_PAGES}, base AS (SELECT pair_id, pa.idx AS idx_a, pa.w AS wa, least(pa.idx, nb.n - 1) AS def, na.n AS na, nb.n AS nb, doc_b FROM pairs JOIN pg pa ON pa.doc_id = doc_a JOIN n na ON na.doc_id = doc_a JOIN n nb ON nb.doc_id = doc_b),
+    cand AS (SELECT pair_id, idx_a, pb.idx AS idx_b, CASE WHEN len(wa) > 0 AND len(pb.w) > 0 THEN len(list_intersect(wa, pb.w)) / len(list_distinct(list_concat(wa, pb.w))) ELSE 0 END AS sim
+      FROM base JOIN pg pb ON pb.doc_id = doc_b AND pb.idx BETWEEN idx_a - 2 AND idx_a + 2 WHERE na <> nb AND len(wa) > 0),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, idx_a ORDER BY sim DESC, idx_b) AS k FROM cand) WHERE k = 1)
+    SELECT base.pair_id, base.idx_a, CAST(CASE WHEN 0.5 + 0.5 * sim > 0.8 THEN idx_b ELSE def END AS INTEGER) AS idx_b,
+      round(CASE WHEN na = nb THEN 1.0 WHEN 0.5 + 0.5 * sim > 0.8 THEN 0.5 + 0.5 * sim ELSE 0.8 END, 6) AS confidence FROM base LEFT JOIN best USING (pair_id, idx_a)"""
+)
+def q16_page_align_window(spark: SparkSession, d: str) -> DataFrame:
+    rows = _lines(spark, d)
+    out = align.align_pages(align.page_words(rows), pairs(rows), use_similarity=True)
+    return out.select("pair_id", "idx_a", "idx_b", _r("confidence").alias("confidence"))
+
+
+@query(
+    """SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) / (sqrt(list_sum(list_transform(a.e, lambda x: x * x))) * sqrt(list_sum(list_transform(b.e, lambda x: x * x)))), 6) AS cosine
+    FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) b ON b.vec_id = a.vec_id + 1"""
+)
+def q17_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after"))
+    return e.join(after, "vec_id").select("vec_id", _r(S.cosine("embedding", "after")).alias("cosine"))
+
+
+@query(f"WITH {SQL_LINES} SELECT norm, CAST(row_number() OVER (ORDER BY norm) - 1 AS BIGINT) AS idx FROM (SELECT DISTINCT {_sql_norm('line')} AS norm FROM doc_lines)")
+def q18_dedup_encode_map(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.dense_index(_lines(spark, d).select(_norm("line").alias("norm")), "norm", "idx")
+
+
+# --- differences -------------------------------------------------------------------------------------------------------------------
+
+_SQL_DIFFS = f"""{SQL_ALIGNED},
+diffs AS (SELECT pair_id, line_no, old_text, new_text, CASE WHEN old_text IS NULL THEN 'added' WHEN new_text IS NULL THEN 'deleted' ELSE 'modified' END AS diff_type
+  FROM aligned WHERE old_text IS DISTINCT FROM new_text),
+norms AS (SELECT *, coalesce(old_text, '') AS o, coalesce(new_text, '') AS n, {_sql_norm('old_text')} AS no, {_sql_norm('new_text')} AS nn FROM diffs),
+classified AS (SELECT *, CASE
+  WHEN o <> n AND o <> '' AND n <> '' AND lower(o) = lower(n) THEN 'case'
+  WHEN o <> n AND {_SQL_BARE.format(c='o')} = {_SQL_BARE.format(c='n')} AND no = nn THEN 'whitespace'
+  WHEN o <> n AND regexp_matches(regexp_replace(o, '[,\\s]', '', 'g'), '^[0-9]+$') AND regexp_replace(o, '[,\\s]', '', 'g') = regexp_replace(n, '[,\\s]', '', 'g') THEN 'number_format'
+  WHEN o <> n AND regexp_replace(no, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g') = regexp_replace(nn, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g') THEN 'punctuation'
+  WHEN {_SQL_BARE.format(c='o')} <> {_SQL_BARE.format(c='n')} THEN 'character_change'
+  WHEN diff_type IN ('added', 'deleted') THEN 'text_addition_deletion' ELSE 'semantic_change' END AS subtype FROM norms),
+typed AS (SELECT *, CASE WHEN subtype IN ('case', 'whitespace', 'number_format', 'punctuation') THEN 'formatting' ELSE 'content' END AS change_type FROM classified)"""
+
+
+def _diffs(spark: SparkSession, d: str) -> DataFrame:
+    return align.changed_lines(_aligned(spark, d))
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    rows = _diffs(spark, d).withColumns({"change_type": F.lit("content"), "is_ocr": F.lit(False)})
+    return classify.classify(rows, compose=False)
+
+
+@query(f"WITH {_SQL_DIFFS} SELECT pair_id, line_no, diff_type, old_text, new_text FROM diffs")
+def q19_line_diff(spark: SparkSession, d: str) -> DataFrame:
+    return _diffs(spark, d).select("pair_id", "line_no", "diff_type", "old_text", "new_text")
+
+
+@query(f"WITH {_SQL_DIFFS} SELECT pair_id, line_no, diff_type, change_type, subtype FROM typed")
+def q20_classify_rules(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d).select("pair_id", "line_no", "diff_type", "change_type", "subtype")
+
+
+@query(
+    f"""WITH {_SQL_DIFFS} SELECT CASE WHEN grouping(diff_type) = 0 THEN 'diff_type' WHEN grouping(change_type) = 0 THEN 'change_type' WHEN grouping(subtype) = 0 THEN 'subtype' ELSE 'total' END AS kind,
+    CASE WHEN grouping(diff_type) = 0 THEN diff_type WHEN grouping(change_type) = 0 THEN change_type WHEN grouping(subtype) = 0 THEN subtype END AS value, count(*) AS n, CAST(0 AS BIGINT) AS n_ocr
+    FROM typed GROUP BY GROUPING SETS ((diff_type), (change_type), (subtype), ())"""
+)
+def q21_summary_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
+    return classify.summary(_classified(spark, d))
+
+
+@query(
+    f"""WITH {_SQL_DIFFS} SELECT severity, count(*) AS n FROM (SELECT CASE WHEN change_type = 'formatting' THEN 'low' WHEN diff_type IN ('added', 'deleted') THEN 'high' ELSE 'medium' END AS severity FROM typed) GROUP BY severity"""
+)
+def q22_severity(spark: SparkSession, d: str) -> DataFrame:
+    s = classify.rule_severity(F.col("subtype"), F.col("change_type"), F.col("diff_type"))
+    return _classified(spark, d).select(s.alias("severity")).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {_SQL_DIFFS}, o AS (SELECT *, pair_id % 2 = 0 AS is_ocr, abs(length(o) - length(n)) AS chars FROM typed)
+    SELECT pair_id, line_no, change_type, subtype, is_ocr FROM o WHERE NOT (is_ocr AND (subtype IN ('punctuation', 'punctuation_shift', 'whitespace', 'case')
+      OR (change_type = 'content' AND subtype = 'character_change' AND (chars < 1 OR chars / greatest(length(o), length(n), 1) < 0.005))))"""
+)
+def q23_ocr_noise_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of even number as recognised text, with the difference of lengths as the changed characters."""
+    old, new = F.length(F.coalesce("old_text", F.lit(""))), F.length(F.coalesce("new_text", F.lit("")))
+    rows = _classified(spark, d).withColumns({"is_ocr": F.col("pair_id") % 2 == 0, "ocr_changed_chars": F.abs(old - new).cast("bigint")})
+    rows = rows.withColumn("ocr_change_ratio", F.col("ocr_changed_chars") / F.greatest(old, new, F.lit(1)))
+    return classify.without_ocr_noise(rows, measure=False).select("pair_id", "line_no", "change_type", "subtype", "is_ocr")
+
+
+@query("SELECT severity, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT value, CASE WHEN value / 100 >= 0.7 THEN 'high' WHEN value / 100 >= 0.4 THEN 'medium' ELSE 'low' END AS severity FROM events) GROUP BY severity")
+def q24_confidence_levels(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("value", G.severity(F.col("value") / 100).alias("severity"))
+    return rows.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("value")).alias("mean"))
+
+
+# --- layout ------------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {SQL_BOXES}, hf AS (SELECT doc_id, page_num, CASE WHEN y < 79.2 THEN 'header' ELSE 'footer' END AS kind, regexp_replace({_sql_norm('line')}, '[0-9]+', '{{#}}', 'g') AS norm FROM boxes WHERE y < 79.2 OR y + height > 712.8),
+    p AS (SELECT doc_id, count(DISTINCT page_num) AS pages FROM boxes GROUP BY doc_id)
+    SELECT doc_id, kind, norm, count(*) AS n FROM hf JOIN p USING (doc_id) WHERE norm <> '' GROUP BY doc_id, kind, norm, pages HAVING count(*) >= greatest(2, floor(pages * 0.33))"""
+)
+def q25_header_footer_repeat(spark: SparkSession, d: str) -> DataFrame:
+    rows = _boxes(spark, d).select("doc_id", "page_num", F.col("line").alias("text"), "bbox")
+    found = lines.header_footer_bands(rows, page_height=PAGE_HEIGHT)
+    found = lines.repeating(found, rows.groupBy("doc_id").agg(F.count_distinct("page_num").alias("n_pages")), X.header_footer_text("text", compose=False))
+    return found.filter("is_repeating").groupBy("doc_id", "kind", "norm").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    rf"""WITH {SQL_LINES} SELECT doc_id, line_no FROM (SELECT doc_id, line_no, lower(trim(line, E' \t\n\r\f')) AS t FROM doc_lines)
+    WHERE regexp_matches(t, '^[0-9]{{1,4}}$') OR regexp_matches(t, '^page\s+[0-9]+(\s+of\s+[0-9]+)?$') OR regexp_matches(t, '^[-–—]\s*[0-9]+\s*[-–—]$') OR regexp_matches(t, '^[0-9]+\s*(/|of)\s*[0-9]+$')"""
+)
+def q26_page_number_pattern(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).filter(Q.is_page_number("line")).select("doc_id", "line_no")
+
+
+_SQL_MODULES = f"""{_SQL_DIFFS},
+modules AS (SELECT pair_id, line_no, 0 AS arrival, 'line' AS module, diff_type, change_type, 0.9::DOUBLE AS confidence FROM typed
+  UNION ALL SELECT pair_id, line_no, 1, 'table', diff_type, 'layout', 0.7 FROM typed WHERE contains(o || n, '|')
+  UNION ALL SELECT pair_id, line_no, 2, 'header_footer', 'modified', 'formatting', 0.6 FROM typed WHERE line_no % 40 IN (0, 39))"""
+
+
+def _modules(spark: SparkSession, d: str) -> DataFrame:
+    """Each changed line as its modules report it: lines all, tables those with a pipe, headers and footers a page's first and last."""
+    rows = _classified(spark, d)
+    pipe = F.concat(F.coalesce("old_text", F.lit("")), F.coalesce("new_text", F.lit(""))).contains("|")
+    as_module = lambda df, k, name, diff, change, conf: df.select("pair_id", "line_no", F.lit(k).alias("arrival"), F.lit(name).alias("module"), diff.alias("diff_type"), change.alias("change_type"), F.lit(conf).alias("confidence"))
+    out = as_module(rows, 0, "line", F.col("diff_type"), F.col("change_type"), 0.9)
+    out = out.unionByName(as_module(rows.filter(pipe), 1, "table", F.col("diff_type"), F.lit("layout"), 0.7))
+    return out.unionByName(as_module(rows.filter((F.col("line_no") % 40).isin(0, 39)), 2, "header_footer", F.lit("modified"), F.lit("formatting"), 0.6))
+
+
+def _no_kinds(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.lit(None).cast("string") for c in ("type", "table_change", "figure_change", "subtype")})
+
+
+@query(
+    f"""WITH {_SQL_MODULES} SELECT pair_id, line_no, CASE WHEN bool_or(change_type = 'content') THEN 'content' WHEN bool_or(change_type = 'formatting') THEN 'formatting' WHEN bool_or(change_type = 'layout') THEN 'layout' ELSE 'visual' END AS change_type
+    FROM modules GROUP BY pair_id, line_no"""
+)
+def q27_consensus_type(spark: SparkSession, d: str) -> DataFrame:
+    return _no_kinds(_modules(spark, d)).groupBy("pair_id", "line_no").agg(fusion.consensus_change_type().alias("change_type"))
+
+
+@query(
+    f"""WITH {_SQL_MODULES}, c AS (SELECT pair_id, line_no, diff_type, count(*) AS n, min(arrival) AS a FROM modules GROUP BY pair_id, line_no, diff_type)
+    SELECT pair_id, line_no, diff_type FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, line_no ORDER BY n DESC, a) AS k FROM c) WHERE k = 1"""
+)
+def q28_consensus_majority(spark: SparkSession, d: str) -> DataFrame:
+    return _modules(spark, d).groupBy("pair_id", "line_no").agg(fusion.majority("diff_type", "arrival").alias("diff_type"))
+
+
+@query(
+    f"""WITH {_SQL_MODULES} SELECT pair_id, line_no, round(CASE WHEN count(DISTINCT module) >= 3 THEN 0.95 WHEN count(DISTINCT module) = 2 THEN 0.85 ELSE least(0.75, avg(confidence) * 0.7 + 0.3) END, 6) AS confidence FROM modules GROUP BY pair_id, line_no"""
+)
+def q29_fused_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _modules(spark, d).groupBy("pair_id", "line_no").agg(_r(fusion.fused_confidence()).alias("confidence"))
+
+
+@query(
+    f"""WITH {_SQL_DIFFS}, g AS (SELECT pair_id, change_type, diff_type, regexp_replace(no, '[0-9]+', '{{#}}', 'g') AS old_key, regexp_replace(nn, '[0-9]+', '{{#}}', 'g') AS new_key, count(*) AS n, min(line_no) AS first_line, max(line_no) AS last_line FROM typed GROUP BY ALL)
+    SELECT * FROM g WHERE n >= CASE WHEN change_type = 'formatting' THEN 3 ELSE 2 END"""
+)
+def q30_aggregate_repeating(spark: SparkSession, d: str) -> DataFrame:
+    rows = _classified(spark, d).select("pair_id", "change_type", "diff_type", "line_no", X.grouping_text("old_text").alias("old_key"), X.grouping_text("new_text").alias("new_key"))
+    out = rows.groupBy("pair_id", "change_type", "diff_type", "old_key", "new_key").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+    return out.filter(F.col("n") >= F.when(F.col("change_type") == "formatting", 3).otherwise(2))
+
+
+@query(f"WITH {SQL_BOXES} SELECT doc_id, page_num, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM boxes GROUP BY doc_id, page_num")
+def q31_union_box(spark: SparkSession, d: str) -> DataFrame:
+    rows = _boxes(spark, d).groupBy("doc_id", "page_num").agg(G.union_box("bbox").alias("u"))
+    return rows.select("doc_id", "page_num", "u.x", "u.y", "u.width", "u.height")
+
+
+@query(
+    f"""WITH {SQL_BOXES}, l AS (SELECT * FROM boxes WHERE line <> ''), b AS (SELECT *, CASE WHEN lag(y) OVER w IS NULL THEN 0 WHEN y - (lag(y) OVER w + lag(height) OVER w) > 1.5 * lag(height) OVER w THEN 1 ELSE 0 END AS brk FROM l WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY line_no)),
+    p AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, page_num ORDER BY line_no) AS para FROM b)
+    SELECT doc_id, page_num, CAST(para AS BIGINT) AS para, count(*) AS n_lines, string_agg(line, ' ' ORDER BY line_no) AS text FROM p GROUP BY doc_id, page_num, para"""
+)
+def q32_paragraph_merge(spark: SparkSession, d: str) -> DataFrame:
+    rows = _boxes(spark, d).filter("line <> ''").select("doc_id", "page_num", F.col("line_no").alias("reading_order"), F.col("line").alias("text"), "bbox", F.lit(False).alias("in_table"), F.lit(None).cast("double").alias("confidence"))
+    return lines.merge_paragraphs(rows).select("doc_id", "page_num", "para", "n_lines", "text")
+
+
+@query(
+    f"""WITH {SQL_BOXES}, g AS (SELECT doc_id, page_num, lead(y) OVER (PARTITION BY doc_id, page_num ORDER BY y, x) - (y + height) AS gap FROM boxes WHERE line <> '')
+    SELECT doc_id, page_num, round(coalesce(avg(gap) FILTER (gap > 0), 0), 6) AS spacing FROM g GROUP BY doc_id, page_num"""
+)
+def q33_average_spacing(spark: SparkSession, d: str) -> DataFrame:
+    out = lines.average_spacing(_boxes(spark, d).filter("line <> ''"), ["doc_id", "page_num"])
+    return out.select("doc_id", "page_num", _r("spacing").alias("spacing"))
+
+
+# --- metrics -----------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {SQL_LINES}, c AS (SELECT doc_id, list_sort(list(length(line))) AS s FROM doc_lines GROUP BY doc_id)
+    SELECT doc_id, (SELECT count(DISTINCT page_num) FROM doc_lines l WHERE l.doc_id = c.doc_id) AS n_pages, len(s) AS n_lines, CAST(list_sum(s) AS BIGINT) AS n_chars,
+      s[least(CAST(floor(len(s) * 0.1) AS BIGINT), len(s) - 1) + 1] AS p10, s[least(CAST(floor(len(s) * 0.5) AS BIGINT), len(s) - 1) + 1] AS p50, s[least(CAST(floor(len(s) * 0.9) AS BIGINT), len(s) - 1) + 1] AS p90 FROM c"""
+)
+def q34_manifest(spark: SparkSession, d: str) -> DataFrame:
+    rows = _lines(spark, d).groupBy("doc_id").agg(
+        F.count_distinct("page_num").alias("n_pages"),
+        F.count(F.lit(1)).alias("n_lines"),
+        F.sum(F.length("line")).alias("n_chars"),
+        F.array_sort(F.collect_list(F.length("line").cast("bigint"))).alias("s"),
+    )
+    return rows.select("doc_id", "n_pages", "n_lines", "n_chars", *(metrics.nearest_rank(F.col("s"), p).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)))
+
+
+_SQL_PRF = """m AS (SELECT lang, quality = 0 AS truth, n_chars < 600 AS pred FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT lang, count(*) FILTER (truth AND pred) AS tp, count(*) FILTER (NOT truth AND pred) AS fp, count(*) FILTER (truth AND NOT pred) AS fn FROM m GROUP BY lang),
+prf AS (SELECT lang, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM c)"""
+
+
+def _prf(spark: SparkSession, d: str) -> DataFrame:
+    """Short documents as the prediction of low quality, for each language."""
+    rows = table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(table(spark, d, "labels"), "doc_id")
+    return metrics.precision_recall(rows.select("lang", (F.col("quality") == 0).alias("truth"), (F.col("n_chars") < 600).alias("predicted")), ["lang"])
+
+
+@query(f"WITH {_SQL_PRF} SELECT lang, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM prf")
+def q35_prf_by_set(spark: SparkSession, d: str) -> DataFrame:
+    return _prf(spark, d).select("lang", "tp", "fp", "fn", *(_r(c).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(
+    f"""WITH {_SQL_PRF}, f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM prf)
+    SELECT count(*) AS n_groups, round(avg(p), 6) AS mean_precision, round(avg(r), 6) AS mean_recall, round(avg(f), 6) AS mean_f1, round(min(f), 6) AS min_f1, round(max(f), 6) AS max_f1 FROM f"""
+)
+def q36_macro_average(spark: SparkSession, d: str) -> DataFrame:
+    out = metrics.macro_average(_prf(spark, d))
+    return out.select("n_groups", *(_r(c).alias(c) for c in out.columns if c != "n_groups"))
+
+
+@query("SELECT l_returnflag, count(*) AS n_words, count(*) FILTER (l_quantity < 0) AS n_empty, round(avg(l_quantity), 6) AS mean, round(median(l_quantity), 6) AS median, round(count(*) FILTER (l_quantity >= 40) / count(*), 6) AS share_high FROM lineitem GROUP BY l_returnflag")
+def q37_conf_stats(spark: SparkSession, d: str) -> DataFrame:
+    out = metrics.confidence_stats(table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("confidence")), ["l_returnflag"], high=40)
+    return out.select("l_returnflag", "n_words", "n_empty", _r("mean").alias("mean"), _r("median").alias("median"), _r("share_high").alias("share_high"))
+
+
+@query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.95), 4) AS p95 FROM orders GROUP BY o_orderpriority")
+def q38_percentile_linear(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").groupBy("o_orderpriority")
+    return rows.agg(_r(F.percentile("o_totalprice", 0.5), 4).alias("p50"), _r(F.percentile("o_totalprice", 0.95), 4).alias("p95"))
+
+
+@query(
+    r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<p[^>]*>')) AS BIGINT) AS n_paragraphs, CAST(len(regexp_extract_all(html, '<li[^>]*>')) AS BIGINT) AS n_items, CAST(len(regexp_extract_all(html, '<h[1-6][^>]*>')) AS BIGINT) AS n_headings,
+    trim(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)', 1), '\s+', ' ', 'g')) AS title FROM pages"""
+)
+def q39_html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda p: F.regexp_count("html", F.lit(p)).cast("bigint")
+    title = F.trim(F.regexp_replace(F.regexp_extract("html", "<h1[^>]*>([^<]*)", 1), r"\s+", " "))
+    return table(spark, d, "pages").select("page_id", n("<p[^>]*>").alias("n_paragraphs"), n("<li[^>]*>").alias("n_items"), n("<h[1-6][^>]*>").alias("n_headings"), title.alias("title"))
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS before FROM conversations)
+    SELECT conv_id, turn, role, CASE WHEN text = before THEN 'identical' WHEN {_sql_norm('text')} = {_sql_norm('before')} THEN 'formatting' ELSE 'content' END AS kind, CAST(length(text) - length(before) AS INTEGER) AS growth FROM t WHERE before IS NOT NULL"""
+)
+def q40_conversation_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn against the same role's turn before it."""
+    before = F.lag("text").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    rows = table(spark, d, "conversations").withColumn("before", before).filter("before is not null")
+    kind = F.when(F.col("text") == F.col("before"), "identical").when(_norm("text") == _norm("before"), "formatting").otherwise("content")
+    return rows.select("conv_id", "turn", "role", kind.alias("kind"), (F.length("text") - F.length("before")).alias("growth"))
+
+
+# --- ordered matching: no SQL ---------------------------------------------------------------------------------------------------------
+
+
+@query()
+def q41_token_sort_ratio(spark: SparkSession, d: str) -> DataFrame:
+    rows = _diffs(spark, d).filter("diff_type = 'modified'")
+    return rows.select("pair_id", "line_no", _r(S.line_similarity("old_text", "new_text")).alias("similarity"))
+
+
+@query()
+def q42_line_align_greedy(spark: SparkSession, d: str) -> DataFrame:
+    rows = _boxes(spark, d)
+    sides = align.sides(lines.with_ids(rows.select("doc_id", "page_num", "line_no", F.col("line").alias("text"), "bbox"), PAGE_WIDTH, PAGE_HEIGHT), pairs(_lines(spark, d)))
+    return align.align_lines(sides).select("pair_id", "page_num", "line_a", "line_b", _r("score").alias("score"), "reason")
+
+
+@query()
+def q43_needleman_wunsch(spark: SparkSession, d: str) -> DataFrame:
+    rows = _lines(spark, d).filter("line <> ''").select("doc_id", "page_num", F.col("line_no").alias("idx"), F.col("line").alias("text"))
+    sides = align.sides(rows, pairs(_lines(spark, d)))
+    return matching.align_sequences(sides, ["pair_id", "page_num"]).select("pair_id", "page_num", "idx_a", "idx_b", _r("score").alias("score"))
+
+
+@query()
+def q44_cluster_fuse(spark: SparkSession, d: str) -> DataFrame:
+    rows = align.as_diffs(_modules(spark, d).drop("arrival").join(_diffs(spark, d).select("pair_id", "line_no", "old_text", "new_text"), ["pair_id", "line_no"]))
+    out = fusion.aggregate_repeating(fusion.fuse_clusters(fusion.cluster(rows)))
+    return out.select("pair_id", "page_num", "diff_id", "diff_type", "change_type", "fusion_count", _r("confidence").alias("confidence"), "aggregated", "count")
+
+
+@query(
+    f"""WITH {SQL_BOXES}, c AS (SELECT doc_id, page_num, line_no, unnest(range(len(w))) AS col, unnest(w) AS text, y FROM (SELECT doc_id, page_num, line_no, y, list_filter(list_transform(string_split(line, '|'), lambda x: trim(x)), lambda x: x <> '') AS w FROM boxes WHERE contains(line, '|')))
+    SELECT doc_id, page_num, CAST(dense_rank() OVER (PARTITION BY doc_id, page_num ORDER BY round_even((y + 6) / 20, 0)) - 1 AS INTEGER) AS row_no, CAST(row_number() OVER (PARTITION BY doc_id, page_num, round_even((y + 6) / 20, 0) ORDER BY line_no, col) - 1 AS INTEGER) AS col_no, text FROM c"""
+)
+def q45_table_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of lines with pipes, in rows of 20 points."""
+    cells = F.filter(F.transform(F.split("line", r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = _boxes(spark, d).filter(F.col("line").contains("|")).select("doc_id", "page_num", "line_no", "bbox", F.posexplode(cells).alias("col", "text"))
+    return lines.grid(rows, ["doc_id", "page_num"], [F.col("line_no"), F.col("col")]).select("doc_id", "page_num", "row_no", "col_no", "text")
