@@ -98,7 +98,7 @@ def sizes(model: Model, raw: bytes) -> np.ndarray:
 
 def decide(model: Model, text: str | None) -> tuple[str, float, bool]:
     """Language, score and whether the margin is too narrow."""
-    raw = normal(text) if text and model.langs else b""
+    raw = normal(text) if text and model.langs and any(map(str.isalpha, text)) else b""
     if not raw:
         return "und", 0.0, True
     s = sizes(model, raw)
