@@ -80,7 +80,7 @@ def pair_score(pred_text: Column, true_text: Column, same_page: Column, same_typ
 def nearest_rank(sorted_values: Column, share: float) -> Column:
     """The value at floor(n * share) of a sorted array, not interpolated; null if it is empty."""
     n = F.size(sorted_values)
-    return F.try_element_at(sorted_values, F.least(F.floor(n * share).cast("int"), n - 1) + 1)
+    return F.try_element_at(sorted_values, F.greatest(F.least(F.floor(n * share).cast("int"), n - 1), F.lit(0)) + 1)
 
 
 def manifest(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
