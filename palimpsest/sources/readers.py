@@ -75,7 +75,7 @@ def extracted(documents: DataFrame, extractor: Callable[[bytes], list[dict]], sc
                     rows += [{"doc_id": doc_id, "status": "ok", **g} for g in got] or [{"doc_id": doc_id, "status": "empty"}]
                 except Exception as e:
                     rows.append({"doc_id": doc_id, "status": f"failed: {type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=["doc_id", "status", *names])
+            yield pd.DataFrame(rows, columns=["doc_id", "status", *names], dtype=object)
 
     return documents.select("doc_id", "content").mapInPandas(run, f"doc_id bigint, status string, {schema}")
 
