@@ -6,14 +6,14 @@ document with the smallest doc_id reachable by links. All steps are exact but fo
 1. Copies: equal sets share a signature; only one of each goes on.
 2. Shared tokens: shingles are dealt by hash, in blocks of arrays rather than rows, and those of one set alone are dropped: a
    set can link only if NUM / DEN of it is shared. A token's list may be long, so it is first counted in SALT parts.
-3. Groups: within each partition, and then among the partitions' leaders, a set joins the first leader it links with, found by
-   its smallest hashes. A group is connected by its links to its leader. This step only saves work: links that it does not
-   try are found below.
-4. The matrix: (token, group) for the union of each group's tokens. Group pairs that share a token of their members' prefixes
-   (rarest tokens first) are candidates; a pair whose leaders link is joined at once. For pairs that stay apart, a member's
-   overlap with the other group's union is counted, and the group is opened for it only if that reaches NUM / DEN of its size;
-   then it is compared with the members that share a prefix token with it.
-5. Components of the groups by alternating large and small stars.
+3. Groups: a set is compared with the most central set (by the mean logarithm of its tokens' counts) among those with the same
+   smallest hash, for KEYS hash functions, and again for ROUNDS among sets without a link so far. Linked sets are one group.
+   This step only saves work: links that it does not try are found below.
+4. The matrix: (token, group, size class) for the union of each group's tokens. Two groups are candidates if members of like
+   size share a token of their prefixes (rarest tokens first) so early that enough tokens can follow. Then a member's overlap
+   with the other group's union is counted, and the group is opened for it only if that reaches NUM / DEN of its size; it is
+   compared with the members that share a prefix token with it.
+5. Components, by alternating large and small stars.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; fewer words than SHINGLE are one shingle;
 a null doc_id keeps its row, and never names a component if another id does; repeated rows are copies; an empty table gives an
@@ -22,13 +22,12 @@ empty table; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.session import ship_package, stored
@@ -216,11 +215,11 @@ def _shared_tokens(dealt: DataFrame, buckets: int, salt: int, homes: int) -> Dat
     return joined.mapInArrow(looked_up, _SHARED)
 
 
-_SET = "sig long, n int, toks binary"
+_SET = "sig long, n int, w double, toks binary"
 
 
 def _sets_that_may_link(shared: DataFrame, homes: int) -> DataFrame:
-    """sig, n, toks (shared tokens, rarest first) of sets with enough shared tokens."""
+    """sig, n, w (mean logarithm of the tokens' counts), toks (shared tokens, rarest first) of sets with enough shared tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, 1):
@@ -230,86 +229,78 @@ def _sets_that_may_link(shared: DataFrame, homes: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
             ends = np.append(first[1:], len(sig)) if len(first) else first
             keep = DEN * (ends - first) >= NUM * n[first].astype(np.int64)
-            out = [(int(sig[lo]), int(n[lo]), tok[lo:hi].tobytes()) for lo, hi in zip(first[keep].tolist(), ends[keep].tolist(), strict=True)]
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["sig", "n", "toks"])
+            weight = np.concatenate([[0.0], np.cumsum(np.log(df[order]))])
+            out = [(int(sig[lo]), int(n[lo]), float((weight[hi] - weight[lo]) / n[lo]), tok[lo:hi].tobytes()) for lo, hi in zip(first[keep].tolist(), ends[keep].tolist(), strict=True)]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.float64(), pa.binary()), strict=True)], ["sig", "n", "w", "toks"])
 
     return shared.repartition(homes, "home").sortWithinPartitions("home").mapInArrow(run, _SET)
 
 
-#: Leaders that a set is compared with before it leads a group of its own. Links beyond are found by the matrix.
-_TRIES, _KEYS = 12, 4
+KEYS, ROUNDS = 4, 2
 
 
-def _lead(rows: DataFrame) -> DataFrame:
-    """sig, lead for each set: itself, or a leader of its partition that it links with."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaders: dict[int, list[tuple[int, int, np.ndarray]]] = defaultdict(list)
-        for b in batches:
-            out = []
-            for sig, n, toks in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                x = np.sort(np.frombuffer(toks, _U))
-                keys = [int(x[0])] if len(x) == 1 else [int(mix(x * _U(2 * j + 1)).min()) for j in range(_KEYS)]
-                tried: set[int] = set()
-                lead = sig
-                for key in keys:
-                    for other, m, y in leaders.get(key, ())[:_TRIES]:
-                        if other not in tried:
-                            tried.add(other)
-                            if linked(x, n, y, m):
-                                lead = other
-                                break
-                    if lead != sig:
-                        break
-                if lead == sig:
-                    for key in keys:
-                        if len(leaders[key]) < _TRIES:
-                            leaders[key].append((sig, n, x))
-                out.append((sig, lead))
-            cols = list(zip(*out, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["sig", "lead"])
-
-    return rows.select("sig", "n", "toks").mapInArrow(run, "sig long, lead long")
-
-
-def _smallest(rows: DataFrame) -> DataFrame:
-    """Rows with the smallest hash of their set, by which similar sets are likely to meet."""
+def _smallest(rows: DataFrame, first: int, keys: int) -> DataFrame:
+    """sig, w, key: the smallest hash of each set under several functions, numbered from `first`."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        key = [int(np.frombuffer(t, _U).min().view(np.int64)) for t in b.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(key, pa.int64())], [*b.schema.names, "key"])
+        key = np.array([[mix(np.frombuffer(t, _U) * _U(2 * j + 1) + _U(j)).min() ^ _U(j) for j in range(first, first + keys)] for t in b.column(2).to_pylist()], _U).reshape(-1)
+        row = pa.array(np.repeat(np.arange(b.num_rows), keys))
+        return pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(key.view(np.int64))], ["sig", "w", "key"])
 
-    return per_batch(rows.select("sig", "n", "toks"), run, _SET + ", key long")
+    return per_batch(rows.select("sig", "w", "toks"), run, "sig long, w double, key long")
 
 
-def groups(may: DataFrame, homes: int) -> DataFrame:
-    """sig, grp for each set: a leader that it reaches by links."""
-    first = stored(_lead(may), "leads")
-    tops = may.join(first.filter("sig = lead").select("sig"), "sig", "left_semi")
-    second = stored(_lead(_smallest(tops).repartition(homes, "key").sortWithinPartitions("key", "sig")), "tops")
-    return stored(first.join(second.select(F.col("sig").alias("lead"), F.col("lead").alias("grp")), "lead").select("sig", "grp"), "groups")
+def groups(may: DataFrame) -> DataFrame:
+    """sig, grp for each set: the smallest of the sets that it reaches by the links tried here."""
+    edges, left = None, may
+    for k in range(ROUNDS):
+        keyed = stored(_smallest(left, KEYS * k, KEYS), "keys")
+        center = stored(keyed.groupBy("key").agg(F.max(F.struct("w", "sig")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", F.col("c.sig").alias("b")), "centers")
+        pairs = keyed.join(center, "key").filter("sig <> b").select(F.col("sig").alias("a"), "b").distinct()
+        found = stored(_verified(pairs, may), "links")
+        edges = found if edges is None else edges.unionByName(found)
+        if k + 1 < ROUNDS:
+            done = edges.select(F.col("a").alias("sig")).unionByName(edges.select(F.col("b").alias("sig"))).distinct()
+            left = may.join(done, "sig", "left_anti")
+    comp = components(edges)
+    return stored(may.select("sig").join(comp.select(F.col("node").alias("sig"), "comp"), "sig", "left").select("sig", F.coalesce("comp", "sig").alias("grp")), "groups")
 
 
 def _exploded(rows: DataFrame, prefix: bool) -> DataFrame:
-    """The other columns of rows(sig, n, toks, ...) with each token; prefix: only those of the set's prefix."""
-    others = [c for c in rows.columns if c not in ("n", "toks")]
+    """The other columns of rows(sig, n, toks, ...) with each token; prefix: only those of the set's prefix, with n and room: how
+    many tokens of the set, this one included, do not come before it."""
+    others = [c for c in rows.columns if c not in ("n", "toks", "w")]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    at_n, at_toks = len(others), len(others) + 1
 
     def run(b: pa.RecordBatch) -> list[pa.RecordBatch]:
         out = []
-        at_n, at_toks = len(others), len(others) + 1
         for lo in range(0, b.num_rows, 1000):
             s = b.slice(lo, 1000)
             toks = [np.frombuffer(t, _U) for t in s.column(at_toks).to_pylist()]
-            if prefix:  # of its n tokens in order, those of this set alone come first
-                toks = [t[: n + (-NUM * n) // DEN + 1 - (n - len(t))] for n, t in zip(s.column(at_n).to_pylist(), toks, strict=True)]
+            size = s.column(at_n).to_pylist()
+            room = [len(t) for t in toks]  # tokens of this set alone come first, then these in order
+            if prefix:
+                toks = [t[: n + (-NUM * n) // DEN + 1 - (n - len(t))] for n, t in zip(size, toks, strict=True)]
             row = pa.array(np.repeat(np.arange(len(toks)), [len(t) for t in toks]))
             flat = np.concatenate(toks or [np.empty(0, _U)]).view(np.int64)
-            out.append(pa.RecordBatch.from_arrays([*(s.column(i).take(row) for i in range(at_n)), pa.array(flat)], [*others, "tok"]))
+            cols = [*(s.column(i).take(row) for i in range(at_n)), pa.array(flat)]
+            if prefix:
+                left = np.concatenate([r - np.arange(len(t)) for r, t in zip(room, toks, strict=True)] or [np.empty(0, np.int64)]).astype(np.int32)
+                cols += [s.column(at_n).take(row), pa.array(left)]
+            out.append(pa.RecordBatch.from_arrays(cols, [*others, "tok", *(["n", "room"] if prefix else [])]))
         return out
 
-    return per_batch(rows.select(*others, "n", "toks"), run, ", ".join(f"{c} {kinds[c]}" for c in others) + ", tok long")
+    more = ", n int, room int" if prefix else ""
+    return per_batch(rows.select(*others, "n", "toks"), run, ", ".join(f"{c} {kinds[c]}" for c in others) + ", tok long" + more)
+
+
+def _may_link(a: str, b: str) -> Column:
+    """Whether sets with these least and greatest sizes and greatest room after a shared token can link."""
+    c = F.col
+    sizes = (DEN * c(f"hi_{a}") >= NUM * c(f"lo_{b}")) & (DEN * c(f"hi_{b}") >= NUM * c(f"lo_{a}"))
+    return sizes & ((NUM + DEN) * F.least(f"room_{a}", f"room_{b}") >= NUM * (c(f"lo_{a}") + c(f"lo_{b}")))
 
 
 def _verified(pairs: DataFrame, may: DataFrame) -> DataFrame:
@@ -334,6 +325,8 @@ def components(edges: DataFrame) -> DataFrame:
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+        if not now[0]:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         state = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -344,32 +337,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def links_between_groups(may: DataFrame, grp: DataFrame) -> DataFrame:
-    """a, b: group pairs between which some link exists, enough of them to connect all that links connect."""
+    """a, b: linked sets of different groups, enough of them to connect all that links connect."""
     member = may.join(grp, "sig")
     prefixes = stored(_exploded(member.select("sig", "grp", "n", "toks"), prefix=True), "prefixes")
-    by_group = prefixes.select("tok", "grp").distinct()
-    a, b = by_group.select("tok", F.col("grp").alias("a")), by_group.select("tok", F.col("grp").alias("b"))
-    pairs = stored(a.join(b, "tok").filter("a < b").select("a", "b").distinct(), "group-pairs")
-    direct = stored(_verified(pairs, may), "direct")
-    comp = stored(components(direct), "components")
-    name = lambda df, x: df.join(comp.select(F.col("node").alias(x), F.col("comp").alias(f"c_{x}")), x, "left").withColumn(f"c_{x}", F.coalesce(f"c_{x}", x))
-    apart = stored(name(name(pairs, "a"), "b").filter("c_a <> c_b").select("a", "b"), "apart")
-    if apart.isEmpty():
-        return direct
-    asked = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # members with a prefix token of the other group's prefixes
-    query = prefixes.join(asked, prefixes["grp"] == asked["a"]).select("sig", "tok", F.col("b").alias("other")).join(by_group.select("tok", F.col("grp").alias("other")), ["tok", "other"]).select("sig", "other").distinct()
+    # sets that link are of one size class or of neighbouring ones
+    sized = prefixes.withColumn("size", F.floor(F.log("n") / F.lit(np.log(DEN / NUM).item())).cast("int"))
+    by_group = sized.groupBy("tok", "grp", "size").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"))
+    shared = by_group.groupBy("tok").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 < g1").select("tok")
+    by_group = stored(by_group.join(shared, "tok", "left_semi"), "matrix")
+    side = lambda x: by_group.select("tok", F.col("grp").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "lo", "hi", "room")))
+    near = side("a").withColumn("size_b", F.explode(F.array(F.col("size_a") - 1, F.col("size_a"), F.col("size_a") + 1)))
+    pairs = stored(near.join(side("b"), ["tok", "size_b"]).filter("a < b").filter(_may_link("a", "b")).select("a", "b").distinct(), "group-pairs")
+    none = may.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0)
+    if pairs.isEmpty():
+        return none
+    asked = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # members that share a prefix token with the other group so that a link is possible
+    mine = prefixes.select("tok", "sig", "grp", F.col("n").alias("lo_a"), F.col("n").alias("hi_a"), F.col("room").alias("room_a")).join(by_group.select("tok").distinct(), "tok", "left_semi")
+    query = mine.join(asked, mine["grp"] == asked["a"]).withColumnRenamed("b", "other")
+    theirs = by_group.select("tok", F.col("grp").alias("other"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.col("room").alias("room_b"))
+    query = stored(query.join(theirs, ["tok", "other"]).filter(_may_link("a", "b")).select("sig", "other").distinct(), "queries")
     # the bound: how many of a member's tokens the other group's union holds
     of_query = _exploded(may.join(query, "sig").select("sig", "other", "n", "toks"), prefix=False)
-    in_question = asked.select(F.col("a").alias("grp")).distinct()
-    matrix = _exploded(member.join(in_question, "grp", "left_semi").select("sig", "grp", "n", "toks"), prefix=False).select("tok", F.col("grp").alias("other")).distinct()
-    overlap = of_query.join(matrix, ["tok", "other"]).groupBy("sig", "other").agg(F.count(F.lit(1)).alias("bound"))
+    in_question = query.select(F.col("other").alias("grp")).distinct()
+    union = _exploded(member.join(in_question, "grp", "left_semi").select("sig", "grp", "n", "toks"), prefix=False).select("tok", F.col("grp").alias("other")).distinct()
+    overlap = of_query.join(union, ["tok", "other"]).groupBy("sig", "other").agg(F.count(F.lit(1)).alias("bound"))
     opened = stored(overlap.join(may.select("sig", "n"), "sig").filter(F.col("bound") * DEN >= F.col("n") * NUM).select("sig", "other"), "opened")
-    mine = prefixes.join(opened, "sig").select(F.col("sig").alias("a"), F.col("grp").alias("ga"), "tok", "other")
-    theirs = prefixes.select(F.col("sig").alias("b"), "tok", F.col("grp").alias("other"))
-    met = mine.join(theirs, ["tok", "other"]).select("a", "b", "ga", F.col("other").alias("gb")).distinct()
-    found = _verified(met, may).select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
-    return direct.unionByName(found)
+    if opened.isEmpty():
+        return none
+    cols = lambda x: [F.col("n").alias(f"lo_{x}"), F.col("n").alias(f"hi_{x}"), F.col("room").alias(f"room_{x}")]
+    first = prefixes.join(opened, "sig").select(F.col("sig").alias("a"), "tok", "other", *cols("a"))
+    second = prefixes.select(F.col("sig").alias("b"), "tok", F.col("grp").alias("other"), *cols("b"))
+    met = first.join(second, ["tok", "other"]).filter(_may_link("a", "b")).select("a", "b").distinct()
+    return stored(_verified(met, may), "links")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -381,8 +381,11 @@ def classes(docs: DataFrame) -> DataFrame:
     buckets = max(8, -(-total // BLOCK_TOKENS))
     salt = max(1, -(-n_sets // SALT_SETS))
     may = stored(_sets_that_may_link(_shared_tokens(_deal(docs, buckets, salt), buckets, salt, buckets), buckets), "may-link")
-    grp = groups(may, buckets)
-    comp = components(links_between_groups(may, grp))
+    grp = groups(may)
+    # links between sets of different groups, as links between groups
+    of = lambda x: grp.select(F.col("sig").alias(x), F.col("grp").alias(f"g{x}"))
+    links = links_between_groups(may, grp).join(of("a"), "a").join(of("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
+    comp = components(links)
     of_sig = grp.join(comp.select(F.col("node").alias("grp"), "comp"), "grp", "left").select("sig", F.coalesce("comp", "grp").alias("comp"))
     named = by_sig.select("sig", "first").join(of_sig, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"))

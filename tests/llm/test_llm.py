@@ -222,7 +222,7 @@ def test_ngram_join(spark, monkeypatch, seed, salt, tries):
     if salt:
         monkeypatch.setattr(ngram_join, "SALT_SETS", 30)
     if tries is not None:
-        monkeypatch.setattr(ngram_join, "_TRIES", tries)
+        monkeypatch.setattr(ngram_join, "KEYS", tries)
     texts = near_texts(seed)
     got = rows(ngram_join.classes(table(spark, texts).repartition(3)))
     assert [r[1:] for r in got] == brute_components(texts)
