@@ -5,9 +5,10 @@ Suffixes are sorted by deep-shallow sorting: multikey quicksort, eight bytes a k
 depth; blind tries then order the groups whose members still agree. Sorting all suffixes of a corpus in one place is neither
 possible nor needed:
 
-1. Copies: of equal texts only the first goes on; the others go whole if they have LENGTH bytes, and else stay.
-2. Anchors: in each LENGTH-byte string the GRAM-byte string of smallest hash is an anchor, so equal strings have equal anchors
-   at the same place. Anchors are dealt by hash, in blocks of arrays; those that occur once are dropped.
+1. Anchors: in each LENGTH-byte string the GRAM-byte string of smallest hash is an anchor, so equal strings have equal anchors
+   at the same place. Anchors are dealt by hash, in blocks of arrays; those that occur once are dropped, and so are those that
+   only copies of one text share.
+2. Copies: of equal texts only the first goes on; the others go whole if they have LENGTH bytes, and else stay.
 3. Suffixes: each remaining anchor takes with it the bytes that a string over it can have, LENGTH to its right and
    LENGTH - GRAM to its left. Within a block, of anchors with equal surroundings only the first travels on.
 4. By anchor hash, the right sides and the reversed left sides are sorted with their common-prefix lengths. Strings that start
@@ -333,10 +334,13 @@ def _repeated(blocks: DataFrame, buckets: int, homes: int) -> DataFrame:
         for rows in _rows_by_key(batches):
             g, pos = _all(rows, 1, "<u8"), _all(rows, 5, "<u4")
             d, h = (np.concatenate([np.frombuffer(r[i], "<i8")[np.frombuffer(r[2], "<u4")] for r in rows]) for i in (3, 4))
-            order = np.argsort(g)
-            g = g[order]
-            same = g[1:] == g[:-1]  # repeated rows show here too; their anchors are one place
-            keep = order[np.append(same, False) | np.append(False, same)]
+            order = np.lexsort((pos, h, g))
+            g, text, place = g[order], h[order], pos[order]
+            first = np.append(True, g[1:] != g[:-1])
+            # an anchor is repeated if it has two places; copies of a text share one
+            other = np.append(False, (g[1:] == g[:-1]) & ((text[1:] != text[:-1]) | (place[1:] != place[:-1])))
+            group = np.cumsum(first) - 1
+            keep = order[np.bincount(group, other, len(g))[group] > 0]
             yield _batch(_by_document([d[keep], h[keep], pos[keep]], homes), ["home", "d", "h", "pos"], [pa.int32(), *[pa.binary()] * 3])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,9 +452,9 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = stored(base.groupBy(F.sha2("raw", 256).alias("digest")).agg(F.min(F.struct("d", "h")).alias("f"), F.max(F.octet_length("raw")).alias("size")).select("f.d", "f.h", "size"), "firsts")
     total = firsts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = max(8, -(-total // BLOCK_BYTES))
-    own = base.join(firsts.select("d", "h"), ["d", "h"], "left_semi")
-    repeated = stored(_repeated(_anchor_blocks(own, buckets), buckets, buckets), "repeated")
-    return stored(_spans(_surroundings(own, repeated, buckets), buckets, buckets), "spans"), firsts
+    # the texts move only once, to meet their repeated anchors: which are first of their kind is known there
+    repeated = _repeated(_anchor_blocks(base, buckets), buckets, buckets).join(firsts.select("d", "h"), ["d", "h"], "left_semi")
+    return stored(_spans(_surroundings(base, stored(repeated, "repeated"), buckets), buckets, buckets), "spans"), firsts
 
 
 def _cut(raw: bytes, first: bool, start: bytes | None, size: bytes | None) -> tuple[bytes, int, int]:
