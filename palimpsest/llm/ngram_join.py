@@ -11,8 +11,8 @@ document with the smallest doc_id reachable by links. All steps are exact but fo
    This step only saves work: links that it does not try are found below.
 4. The matrix: (token, group, size class) for the union of each group's tokens. Two groups are candidates if members of like
    size share a token of their prefixes (rarest tokens first) so early that enough tokens can follow. Then a member's overlap
-   with the other group's union is counted, and the group is opened for it only if that reaches NUM / DEN of its size; it is
-   compared with the members that share a prefix token with it.
+   with the other, larger group's union is counted, and that group is opened for it only if the overlap reaches NUM / DEN of its
+   size; it is compared with the members that share a prefix token with it.
 5. Components, by alternating large and small stars.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; fewer words than SHINGLE are one shingle;
@@ -344,19 +344,19 @@ def links_between_groups(may: DataFrame, grp: DataFrame) -> DataFrame:
     sized = prefixes.withColumn("size", F.floor(F.log("n") / F.lit(np.log(DEN / NUM).item())).cast("int"))
     by_group = sized.groupBy("tok", "grp", "size").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"))
     shared = by_group.groupBy("tok").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 < g1").select("tok")
-    by_group = stored(by_group.join(shared, "tok", "left_semi"), "matrix")
-    side = lambda x: by_group.select("tok", F.col("grp").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "lo", "hi", "room")))
+    members = grp.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
+    by_group = stored(by_group.join(shared, "tok", "left_semi").join(members, "grp"), "matrix")
+    side = lambda x: by_group.select("tok", F.col("grp").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "lo", "hi", "room", "m")))
     near = side("a").withColumn("size_b", F.explode(F.array(F.col("size_a") - 1, F.col("size_a"), F.col("size_a") + 1)))
-    pairs = stored(near.join(side("b"), ["tok", "size_b"]).filter("a < b").filter(_may_link("a", "b")).select("a", "b").distinct(), "group-pairs")
+    # of two groups the smaller one's members ask; a link is found from either side
+    asks = (F.col("m_a") < F.col("m_b")) | ((F.col("m_a") == F.col("m_b")) & (F.col("a") < F.col("b")))
+    hits = near.join(side("b"), ["tok", "size_b"]).filter((F.col("a") != F.col("b")) & asks).filter(_may_link("a", "b"))
+    hits = hits.select("tok", F.col("a").alias("grp"), F.col("size_a").alias("size"), F.col("b").alias("other"), "lo_b", "hi_b", "room_b")
+    mine = sized.select("tok", "grp", "size", "sig", F.col("n").alias("lo_a"), F.col("n").alias("hi_a"), F.col("room").alias("room_a"))
+    query = stored(mine.join(hits, ["tok", "grp", "size"]).filter(_may_link("a", "b")).select("sig", "other").distinct(), "queries")
     none = may.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0)
-    if pairs.isEmpty():
+    if query.isEmpty():
         return none
-    asked = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # members that share a prefix token with the other group so that a link is possible
-    mine = prefixes.select("tok", "sig", "grp", F.col("n").alias("lo_a"), F.col("n").alias("hi_a"), F.col("room").alias("room_a")).join(by_group.select("tok").distinct(), "tok", "left_semi")
-    query = mine.join(asked, mine["grp"] == asked["a"]).withColumnRenamed("b", "other")
-    theirs = by_group.select("tok", F.col("grp").alias("other"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.col("room").alias("room_b"))
-    query = stored(query.join(theirs, ["tok", "other"]).filter(_may_link("a", "b")).select("sig", "other").distinct(), "queries")
     # the bound: how many of a member's tokens the other group's union holds
     of_query = _exploded(may.join(query, "sig").select("sig", "other", "n", "toks"), prefix=False)
     in_question = query.select(F.col("other").alias("grp")).distinct()
