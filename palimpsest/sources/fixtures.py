@@ -1,7 +1,7 @@
 """Comparison inputs derived from the driver's tables: lines, pages, boxes and document pairs.
 
-Every derivation is linear in its input: a line that many documents hold links each with the one before it (by id), not all
-with all.
+pairs() is the rule of the queries' SQL and linear in its input: a line that many documents hold links each with the one before
+it (by id), not all with all. all_pairs() gives every pair of documents that share enough lines.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import geometry as G
+from palimpsest.session import stored
 
 LINES_PER_PAGE, PAGE_WIDTH, PAGE_HEIGHT = 40, 612.0, 792.0
 
@@ -39,6 +40,29 @@ def pairs(lines: DataFrame, least_length: int = 20, least_lines: int = 2) -> Dat
     return out.select((F.col("doc_a") * 1_000_000 + F.col("doc_b")).alias("pair_id"), "doc_a", "doc_b")
 
 
+#: Holders of a line that one part of its join may have.
+SALT_HOLDERS = 1000
+
+
+def all_pairs(lines: DataFrame, least_length: int = 20) -> DataFrame:
+    """pair_id, doc_a, doc_b: all documents doc_a < doc_b that share at least two lines of over 20 characters.
+
+    Documents meet by all their shared lines but the most frequent: of two shared lines one is not the last in either's order. So
+    a line that all hold makes no candidates by itself. pair_id numbers the stored pairs, and holds for these rows only.
+    """
+    held = lines.filter(F.length("line") > least_length).select("doc_id", "line").distinct()
+    df = held.groupBy("line").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    held = stored(held.join(df, "line").select("doc_id", F.xxhash64("line").alias("k"), "line", "df"), "held-lines")
+    last = Window.partitionBy("doc_id").orderBy(F.desc("df"), F.desc("k"), F.desc("line"))
+    prefix = held.withColumn("place", F.row_number().over(last)).filter("place > 1").withColumn("parts", F.ceil(F.col("df") / SALT_HOLDERS).cast("int"))
+    first = prefix.select("line", F.col("doc_id").alias("doc_a"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+    second = prefix.select("line", F.col("doc_id").alias("doc_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = first.join(second, ["line", "part"]).filter("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    shared = met.join(held.select(F.col("doc_id").alias("doc_a"), "line"), "doc_a").join(held.select(F.col("doc_id").alias("doc_b"), "line"), ["doc_b", "line"])
+    out = shared.groupBy("doc_a", "doc_b").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return stored(out.select(F.monotonically_increasing_id().alias("pair_id"), "doc_a", "doc_b"), "pairs")
+
+
 def aligned_lines(lines: DataFrame, pair: DataFrame) -> DataFrame:
     """pair_id, line_no, old_text, new_text: the lines of both documents at the same place; null where one has none."""
     a = pair.join(lines.select(F.col("doc_id").alias("doc_a"), "line_no", F.col("line").alias("old_text")), "doc_a").select("pair_id", "line_no", "old_text")
