@@ -261,6 +261,37 @@ def test_licenses(spark):
     assert licenses.license_scan(spark.createDataFrame([], "file_id long, path string, text string")).count() == 0
 
 
+def test_license_texts(spark):
+    """Headers and whole files are scored as such, and words of no template weigh by their own counts."""
+    mit, gpl = licenses.TEXTS["MIT"][0], licenses.TEXTS["GPL-3.0"]
+    header = "\n".join(f"# {x}".rstrip() for x in gpl[0].split("\n"))
+    named = "Copyright 2020 Jane Doe. Licensed under the MIT License."
+    files = [
+        (1, "a/LICENSE", f"The MIT License\n\nCopyright (c) 2019 Some One\n\n{mit}"),
+        (2, "a/x.py", f"#!/usr/bin/python\n{header}\n\nimport os\nprint(os.name)"),
+        (3, "b/COPYING", gpl[1]),
+        (4, "c/x.py", f"plain words\n\n{named}\n\nmore words"),
+        (5, "d/x.py", None),
+        (6, "e/LICENSE", licenses.TEXTS["BSD-2-Clause"][0].replace("\n", " ")),
+        (7, "f/COPYING", licenses.TEXTS["AGPL-3.0"][1]),
+        *((k, "z/x.txt", "Copyright 2020 of Jane Doe\nplain words of no licence") for k in range(10, 400)),
+    ]
+    out = {r.file_id: r for r in licenses.license_scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    assert [out[k].licence for k in range(1, 8)] == ["MIT", "GPL-3.0", "GPL-3.0", "MIT", None, "BSD-2-Clause", "AGPL-3.0"]
+    assert out[1].n_lines == files[0][2].count("\n") + 1 and out[3].score > 0.99 and out[2].n_lines >= header.count("\n") and out[4].n_lines == 1
+    assert len(out) == len(files) and all(out[k].licence is None for k in range(10, 400))
+    texts = [t or "" for _, _, t in files]
+    lines = [x for t in texts for x in t.split("\n")]
+    counts: dict[str, int] = {}
+    for x in lines:
+        for w in licenses.line_words(x):
+            counts[w] = counts.get(w, 0) + 1
+    s = licenses.Scanner(licenses.TEMPLATES, len(lines), counts)
+    for k, t in zip(range(1, 8), texts, strict=False):
+        got = [s.best(u) for u in [t, *t.split("\n"), *("\n".join(t.split("\n")[a:b]) for a, b in licenses.blocks(t.split("\n")))]]
+        assert out[k].score == pytest.approx(max(x for _, x in got), abs=2e-6)
+
+
 def test_license_cues():
     """A line that reaches a template holds one of the words that are looked for first."""
     s = licenses.Scanner(licenses.TEMPLATES, 1000, {"the": 600, "this": 400, "is": 300, "under": 50, "license": 20, "licensed": 20, "version": 30})
