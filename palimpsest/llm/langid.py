@@ -3,8 +3,8 @@
 Each language has a raw-content zstandard dictionary, made of training texts. A text, lower-cased and without what is no letter,
 is compressed in pieces of PIECE bytes, once with each dictionary; the language whose pieces are smallest together is predicted.
 Its score is the share of exp(-TEMPER * size) among the languages. A prediction is marked rejected if its margin to the second
-language is narrow: below MARGIN of the second size, in a text of at least LONG bytes. In less, a few bytes of compressed size
-do not tell a narrow margin from a short text, and such texts are not rejected.
+language is narrow, whatever the text's length: below MARGIN of the second size, or below LEAD bytes, as sizes come in whole
+bytes and a lead of one tells nothing. So ties are always rejected.
 
 Training takes, for each language, the SAMPLE documents of smallest hash among those with a language outside the held-out
 fold; a dictionary holds at most DICTIONARY bytes. Nothing but the text goes into a prediction.
@@ -33,7 +33,7 @@ DICTIONARY = 96 * 1024
 PIECE = 2048
 LEVEL = 6
 TEMPER = 0.35
-MARGIN, LONG = 0.02, 256
+MARGIN, LEAD = 0.02, 2
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -107,7 +107,7 @@ def decide(model: Model, text: str | None) -> tuple[str, float, bool]:
     if len(s) == 1:
         return model.langs[0], score, False
     second = int(np.partition(s, 1)[1])
-    return model.langs[best], score, len(raw) >= LONG and second - int(s[best]) < MARGIN * second
+    return model.langs[best], score, second - int(s[best]) < max(LEAD, MARGIN * second)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

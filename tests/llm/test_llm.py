@@ -320,6 +320,19 @@ def test_language_id(spark):
     assert kept.columns == docs.columns and kept.count() > 0.99 * docs.count()
 
 
+def test_language_margins(spark):
+    """Short texts are held to the margin too, and ties are always rejected."""
+    model = langid.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = ["Zq", "xyzzy plugh", "and", "this is what people said about the house and the garden, which they would have liked to see", None]
+    want = []
+    for t in texts:
+        s = sorted(langid.sizes(model, langid.normal(t))) if t else [0, 0]
+        want.append(bool(s[1] - s[0] < max(2, 0.02 * s[1])))
+    assert want[0] and want[1] and not want[3]
+    assert [r[4] for r in rows(langid.predict(table(spark, texts), model))] == want
+    assert [r[0] for r in rows(langid.keep_identified(table(spark, texts), model))] == [k for k, x in enumerate(want) if not x]
+
+
 def test_toxicity(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
