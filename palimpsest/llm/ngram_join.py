@@ -15,6 +15,8 @@ document with the smallest doc_id reachable by links. All steps are exact but fo
    size; it is compared with the members that share a prefix token with it.
 5. Components, by alternating large and small stars.
 
+classes() is components only, as its SQL is; links() and link_counts() find every link by prefixes, also inside groups.
+
 Defined cases: a null or wordless text has an empty set and is linked with nothing; fewer words than SHINGLE are one shingle;
 a null doc_id keeps its row, and never names a component if another id does; repeated rows are copies; an empty table gives an
 empty table; other columns are ignored.
@@ -372,15 +374,45 @@ def links_between_groups(may: DataFrame, grp: DataFrame) -> DataFrame:
     return stored(_verified(met, may), "links")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs(doc_id, text)."""
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' sets, the distinct ones (sig, first, n, copies), and those that may link."""
     ship_package(docs.sparkSession)
     own = stored(sets(docs), "sets")
-    by_sig = stored(own.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")), "signatures")
+    by_sig = stored(own.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "signatures")
     total, n_sets = by_sig.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(8, -(-total // BLOCK_TOKENS))
     salt = max(1, -(-n_sets // SALT_SETS))
-    may = stored(_sets_that_may_link(_shared_tokens(_deal(docs, buckets, salt), buckets, salt, buckets), buckets), "may-link")
+    return own, by_sig, stored(_sets_that_may_link(_shared_tokens(_deal(docs, buckets, salt), buckets, salt, buckets), buckets), "may-link")
+
+
+def _links(may: DataFrame) -> DataFrame:
+    """a, b: all linked sets a < b, also those that groups and components do without."""
+    prefixes = stored(_exploded(may.select("sig", "n", "toks"), prefix=True), "prefixes")
+    side = lambda x: prefixes.select("tok", F.col("sig").alias(x), F.col("n").alias(f"lo_{x}"), F.col("n").alias(f"hi_{x}"), F.col("room").alias(f"room_{x}"))
+    met = side("a").join(side("b"), "tok").filter("a < b").filter(_may_link("a", "b")).select("a", "b").distinct()
+    return stored(_verified(met, may), "links")
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """doc_a, doc_b: links between different texts, each as the smallest doc_id of either set; as many rows as there are links."""
+    _, by_sig, may = _prepared(docs)
+    of = lambda x: by_sig.select(F.col("sig").alias(x), F.col("first").alias(f"doc_{x}"))
+    return _links(may).join(of("a"), "a").join(of("b"), "b").select("doc_a", "doc_b")
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_links of each row of docs(doc_id, text): how many other rows it links with, copies included."""
+    own, by_sig, may = _prepared(docs)
+    found = _links(may)
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = both.join(by_sig.select(F.col("sig").alias("b"), "copies"), "b").groupBy(F.col("a").alias("sig")).agg(F.sum("copies").alias("far"))
+    of_sig = by_sig.join(far, "sig", "left").select("sig", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    return own.join(of_sig, "sig", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows' sets, and sig, comp, component_id of the distinct ones."""
+    own, by_sig, may = _prepared(docs)
     grp = groups(may)
     # links between sets of different groups, as links between groups
     of = lambda x: grp.select(F.col("sig").alias(x), F.col("grp").alias(f"g{x}"))
@@ -389,8 +421,13 @@ def classes(docs: DataFrame) -> DataFrame:
     of_sig = grp.join(comp.select(F.col("node").alias("grp"), "comp"), "grp", "left").select("sig", F.coalesce("comp", "grp").alias("comp"))
     named = by_sig.select("sig", "first").join(of_sig, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    class_of = stored(named.select("sig", "comp").join(least, "comp").select("sig", "component_id"), "classes")
-    return own.join(class_of, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return own, stored(named.select("sig", "comp").join(least, "comp").select("sig", "comp", "component_id"), "classes")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs(doc_id, text)."""
+    own, class_of = _classes(docs)
+    return own.join(class_of.drop("comp"), "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

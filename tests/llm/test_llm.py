@@ -235,6 +235,18 @@ def test_ngram_join_odd(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
 
 
+def test_ngram_links(spark):
+    """All links between different texts, also inside components, and each row's number of links."""
+    texts = near_texts(1)
+    got = [set(map(int, ngram_join.shingles(t.encode() if t else None))) for t in texts]
+    link = {(i, j) for i in range(len(got)) for j in range(len(got)) if i != j and got[i] and 5 * len(got[i] & got[j]) >= 4 * len(got[i] | got[j])}
+    assert [r[1] for r in rows(ngram_join.link_counts(table(spark, texts)))] == [sum(a == k for a, _ in link) for k in range(len(texts))]
+    first = [min(k for k, y in enumerate(got) if y == x) for x in got]
+    want = {tuple(sorted((first[i], first[j]))) for i, j in link if got[i] != got[j]}
+    pairs = ngram_join.links(table(spark, texts)).collect()
+    assert len(pairs) == len(want) > 0 and {tuple(sorted(r)) for r in pairs} == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (7, 8), (9, 8), (9, 10), (5, 5), (3, 4)], "a long, b long")
     got = dict(map(tuple, ngram_join.components(edges).distinct().collect()))
