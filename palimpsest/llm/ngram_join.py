@@ -80,15 +80,15 @@ def linked(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> bool:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sig of each row of docs(doc_id, text). sig is null for an empty set."""
+    """doc_id, h (the text's hash), n, sig of each row of docs(doc_id, text). sig is null for an empty set."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = [shingles(x) for x in b.column(1).to_pylist()]
+        got = [shingles(x) for x in b.column(2).to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([signature(x) if len(x) else None for x in got], pa.int64())], ["doc_id", "n", "sig"]
+            [b.column(0), b.column(1), pa.array([len(x) for x in got], pa.int64()), pa.array([signature(x) if len(x) else None for x in got], pa.int64())], ["doc_id", "h", "n", "sig"]
         )
 
-    return per_batch(docs.select("doc_id", F.col("text").cast("binary").alias("raw")), run, "doc_id long, n long, sig long")
+    return per_batch(docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("raw")), run, "doc_id long, h long, n long, sig long")
 
 
 _DEALT = "bucket int, part int, tok binary, at binary, sig binary, n binary"
@@ -431,9 +431,15 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names their component: one document of each class, or all rows that share this id."""
-    kept = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of docs for each class: of those with its smallest doc_id (null if it has no other) one with the smallest hash of its
+    text. Rows without a word are linked with nothing, and all stay."""
+    own, class_of = _classes(docs)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("h"))).alias("k")
+    named = own.join(class_of, "sig").groupBy("comp").agg(least).select(F.col("k.doc_id").alias("_d"), F.col("k.h").alias("_h"), F.lit(False).alias("_all"))
+    kept = stored(named.unionByName(own.filter("sig is null").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.lit(True).alias("_all")).distinct()), "kept")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_d"]) & (F.xxhash64(docs["text"]) == kept["_h"]))
+    # of equal rows one; a row that stays anyway has a key of its own
+    return rows.withColumn("_row", F.when(F.col("_all"), F.monotonically_increasing_id())).dropDuplicates(["doc_id", "_h", "_row"]).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -235,6 +235,15 @@ def test_ngram_join_odd(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
 
 
+def test_keep_one_rows(spark):
+    """One row of a class stays, also of repeated rows, shared ids and null ids; rows without a word all stay."""
+    texts = ["a b c", "a b c", "A  b c", "x y", "x y", "p q", "p q", "", "", "k l", "m n", "m n"]
+    ids = [1, 1, 2, 3, 4, None, None, None, 5, 3, None, 7]
+    kept = ngram_join.keep_one(table(spark, texts, ids).repartition(3))
+    assert kept.columns == table(spark, []).columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", "a b c"), ("3", "x y"), ("None", "p q"), ("None", ""), ("5", ""), ("3", "k l"), ("7", "m n")])
+
+
 def test_ngram_links(spark):
     """All links between different texts, also inside components, and each row's number of links."""
     texts = near_texts(1)
