@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
+#: A batch that goes to a Python worker holds at most so many bytes, beyond its last row.
+_BATCH_BYTES, MOST_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 24
 
 
 def local_session(app: str = "palimpsest", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -33,6 +36,8 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_palimpsest_shipped", False):
         return
+    if sc.getConf().get(_BATCH_BYTES) is None:
+        spark.conf.set(_BATCH_BYTES, MOST_BATCH_BYTES)
     out = os.path.join(tempfile.mkdtemp(prefix="palimpsest-src-"), "palimpsest_src.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(_ROOT.rglob("*.py")):
@@ -48,6 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="palimpsest-shared-")
         spark.sparkContext.setCheckpointDir(d)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -63,11 +70,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: lineage is cut, and an executor lost later costs nothing."""
     path = scratch(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._palimpsest_path = path
+    return out
 
 
-def drop_stored(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files of tables that stored() gave, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._palimpsest_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
