@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +18,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list], schema: str) -> DataFrame:
-    """Apply fn to each Arrow batch. fn may return one batch or a list of them."""
+def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Apply fn to each Arrow batch. fn may return one batch or several; of a generator one at a time is held."""
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = fn(b)
-            yield from out if isinstance(out, list) else [out]
+            if isinstance(out, pa.RecordBatch):
+                yield out
+            else:
+                yield from out
+            del b, out
+            pa.default_memory_pool().release_unused()  # workers stay, their memory should not
 
     return df.mapInArrow(run, schema)
 

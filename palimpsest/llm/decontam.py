@@ -24,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.session import stored
+from palimpsest.session import drop_stored, stored
 
 WINDOW = 10
 #: A word of a text whose capitals are not yet lower-cased.
@@ -128,7 +128,9 @@ def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     terms = query_terms(wins)
     n_terms = terms.count()
     postings = build_index(docs, terms, n_terms)
-    return stored(occurrences(postings, terms, n_terms), "occurrences"), wins
+    found = stored(occurrences(postings, terms, n_terms), "occurrences")
+    drop_stored(postings)
+    return found, wins
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:

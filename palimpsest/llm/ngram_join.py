@@ -32,13 +32,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import ship_package, stored
+from palimpsest.session import drop_stored, ship_package, stored
 
 from .common import in_slices, per_batch
 
 SHINGLE, NUM, DEN = 5, 4, 5
 #: Tokens a block of the shared-token step should hold, and sets a token's list may have before it is split.
-BLOCK_TOKENS, SALT_SETS = 1 << 21, 4_000_000
+BLOCK_TOKENS, SALT_SETS = 1 << 20, 4_000_000
+#: Bytes of text whose shingles are held and dealt together.
+SLICE = 1 << 22
 _U = np.uint64
 _MIX = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
 
@@ -97,9 +99,9 @@ _DEALT = "bucket int, part int, tok binary, at binary, sig binary, n binary"
 def _deal(docs: DataFrame, buckets: int, salt: int) -> DataFrame:
     """Blocks of tokens by hash, each set once for a slice of a batch."""
 
-    def run(b: pa.RecordBatch) -> list[pa.RecordBatch]:
-        out, seen = [], set()
-        for s in in_slices(b, 0):
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for s in in_slices(b, 0, SLICE):
             toks, sigs, ns = [], [], []
             for raw in s.column(0).to_pylist():
                 x = shingles(raw)
@@ -124,8 +126,7 @@ def _deal(docs: DataFrame, buckets: int, salt: int) -> DataFrame:
                 rows.append((int(key[lo]) // salt, int(key[lo]) % salt, tok[lo:hi].tobytes(), place.astype(np.uint32).tobytes(), sig[own].tobytes(), n[own].tobytes()))
             cols = zip(*rows, strict=True)
             kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
-            out.append(pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "part", "tok", "at", "sig", "n"]))
-        return out
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "part", "tok", "at", "sig", "n"])
 
     return per_batch(docs.select(F.col("text").cast("binary").alias("raw")), run, _DEALT)
 
@@ -261,6 +262,7 @@ def groups(may: DataFrame) -> DataFrame:
         center = stored(keyed.groupBy("key").agg(F.max(F.struct("w", "sig")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", F.col("c.sig").alias("b")), "centers")
         pairs = keyed.join(center, "key").filter("sig <> b").select(F.col("sig").alias("a"), "b").distinct()
         found = stored(_verified(pairs, may), "links")
+        drop_stored(keyed, center)
         edges = found if edges is None else edges.unionByName(found)
         if k + 1 < ROUNDS:
             done = edges.select(F.col("a").alias("sig")).unionByName(edges.select(F.col("b").alias("sig"))).distinct()
@@ -276,8 +278,7 @@ def _exploded(rows: DataFrame, prefix: bool) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     at_n, at_toks = len(others), len(others) + 1
 
-    def run(b: pa.RecordBatch) -> list[pa.RecordBatch]:
-        out = []
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo in range(0, b.num_rows, 1000):
             s = b.slice(lo, 1000)
             toks = [np.frombuffer(t, _U) for t in s.column(at_toks).to_pylist()]
@@ -291,8 +292,7 @@ def _exploded(rows: DataFrame, prefix: bool) -> DataFrame:
             if prefix:
                 left = np.concatenate([r - np.arange(len(t)) for r, t in zip(room, toks, strict=True)] or [np.empty(0, np.int64)]).astype(np.int32)
                 cols += [s.column(at_n).take(row), pa.array(left)]
-            out.append(pa.RecordBatch.from_arrays(cols, [*others, "tok", *(["n", "room"] if prefix else [])]))
-        return out
+            yield pa.RecordBatch.from_arrays(cols, [*others, "tok", *(["n", "room"] if prefix else [])])
 
     more = ", n int, room int" if prefix else ""
     return per_batch(rows.select(*others, "n", "toks"), run, ", ".join(f"{c} {kinds[c]}" for c in others) + ", tok long" + more)
@@ -335,7 +335,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        e = stored(small.distinct(), "edges")
+        before, e = e, stored(small.distinct(), "edges")
+        drop_stored(before)
 
 
 def links_between_groups(may: DataFrame, grp: DataFrame) -> DataFrame:
@@ -356,6 +357,7 @@ def links_between_groups(may: DataFrame, grp: DataFrame) -> DataFrame:
     hits = hits.select("tok", F.col("a").alias("grp"), F.col("size_a").alias("size"), F.col("b").alias("other"), "lo_b", "hi_b", "room_b")
     mine = sized.select("tok", "grp", "size", "sig", F.col("n").alias("lo_a"), F.col("n").alias("hi_a"), F.col("room").alias("room_a"))
     query = stored(mine.join(hits, ["tok", "grp", "size"]).filter(_may_link("a", "b")).select("sig", "other").distinct(), "queries")
+    drop_stored(by_group)
     none = may.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0)
     if query.isEmpty():
         return none
@@ -371,7 +373,9 @@ def links_between_groups(may: DataFrame, grp: DataFrame) -> DataFrame:
     first = prefixes.join(opened, "sig").select(F.col("sig").alias("a"), "tok", "other", *cols("a"))
     second = prefixes.select(F.col("sig").alias("b"), "tok", F.col("grp").alias("other"), *cols("b"))
     met = first.join(second, ["tok", "other"]).filter(_may_link("a", "b")).select("a", "b").distinct()
-    return stored(_verified(met, may), "links")
+    links = stored(_verified(met, may), "links")
+    drop_stored(prefixes, query, opened)
+    return links
 
 
 def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import ship_package, stored
+from palimpsest.session import drop_stored, ship_package, stored
 
 from .common import in_slices, per_batch
 
@@ -300,8 +300,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _anchor_blocks(base: DataFrame, buckets: int) -> DataFrame:
     """bucket, and blobs of anchor hash, document's place in the block, its d and h, position."""
 
-    def run(b: pa.RecordBatch) -> list[pa.RecordBatch]:
-        out = []
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for s in in_slices(b, 2):
             d, h = s.column(0).to_numpy(), s.column(1).to_numpy()
             raws = s.column(2).to_pylist()
@@ -321,8 +320,7 @@ def _anchor_blocks(base: DataFrame, buckets: int) -> DataFrame:
             for lo, hi in zip(cut, cut[1:], strict=False):
                 own, place = np.unique(doc[lo:hi], return_inverse=True)
                 rows.append((int(bucket[lo]), g[lo:hi].tobytes(), place.astype(np.uint32).tobytes(), d[own].tobytes(), h[own].tobytes(), pos[lo:hi].tobytes()))
-            out.append(_batch(rows, ["bucket", "g", "at", "d", "h", "pos"], [pa.int32(), *[pa.binary()] * 5]))
-        return out
+            yield _batch(rows, ["bucket", "g", "at", "d", "h", "pos"], [pa.int32(), *[pa.binary()] * 5])
 
     return per_batch(base.select("d", "h", "raw").filter(F.octet_length("raw") >= LENGTH), run, "bucket int, g binary, at binary, d binary, h binary, pos binary")
 
@@ -362,8 +360,7 @@ def _surroundings(base: DataFrame, repeated: DataFrame, buckets: int) -> DataFra
     """Blocks of anchors with the bytes around them; bucket -1: spans that are already known (d, h, pos, and their size in n_right)."""
     width = LEFT + LENGTH
 
-    def run(b: pa.RecordBatch) -> list[pa.RecordBatch]:
-        out = []
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for s in in_slices(b, 2):
             ctx, n_l, n_r, d, h, pos = [], [], [], [], [], []
             for dd, hh, raw, blob in zip(*(s.column(i).to_pylist() for i in range(4)), strict=True):
@@ -401,8 +398,7 @@ def _surroundings(base: DataFrame, repeated: DataFrame, buckets: int) -> DataFra
             for lo, hi in zip(cut, cut[1:], strict=False):
                 i = keep[lo:hi]
                 rows.append((int(bucket[lo]), c[i, LEFT:].tobytes(), c[i, :LEFT][:, ::-1].tobytes(), nr[i].astype(np.uint8).tobytes(), nl[i].astype(np.uint8).tobytes(), d[i].tobytes(), h[i].tobytes(), pos[i].tobytes(), 0))
-            out.append(_batch(rows, [x.split()[0] for x in _SURROUNDED.split(", ")], [pa.int32(), *[pa.binary()] * 7, pa.int32()]))
-        return out
+            yield _batch(rows, [x.split()[0] for x in _SURROUNDED.split(", ")], [pa.int32(), *[pa.binary()] * 7, pa.int32()])
 
     return per_batch(base.join(repeated, ["d", "h"]).select("d", "h", "raw", "pos"), run, _SURROUNDED)
 
@@ -453,8 +449,10 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = firsts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = max(8, -(-total // BLOCK_BYTES))
     # the texts move only once, to meet their repeated anchors: which are first of their kind is known there
-    repeated = _repeated(_anchor_blocks(base, buckets), buckets, buckets).join(firsts.select("d", "h"), ["d", "h"], "left_semi")
-    return stored(_spans(_surroundings(base, stored(repeated, "repeated"), buckets), buckets, buckets), "spans"), firsts
+    repeated = stored(_repeated(_anchor_blocks(base, buckets), buckets, buckets).join(firsts.select("d", "h"), ["d", "h"], "left_semi"), "repeated")
+    found = stored(_spans(_surroundings(base, repeated, buckets), buckets, buckets), "spans")
+    drop_stored(repeated)
+    return found, firsts
 
 
 def _cut(raw: bytes, first: bool, start: bytes | None, size: bytes | None) -> tuple[bytes, int, int]:
