@@ -54,7 +54,7 @@ def test_sentencepiece_transducer(spark, sample):
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    texts = [t for t in ODD if t is None or "▁" not in t] + sample[:80]
+    texts = [t for t in ODD if t is None or "▁" not in t] + sample[:80] + ["x" * 100_000, "long " * 50_000, "a", "a"]
     encoded = sp_fst.encode(table(spark, texts), PIECES)
     got = rows(encoded)
     assert [list(r[1]) for r in got] == lib.encode([t or "" for t in texts], num_threads=1)
@@ -65,6 +65,32 @@ def test_sentencepiece_transducer(spark, sample):
     assert blank[0][5] is False and blank[0][4] == hashlib.sha256(b" a").hexdigest()
 
 
+def test_transducer_weights():
+    """Without an order the weights alone choose the path, through the entry too; with one they do not matter."""
+    fst = sp_fst.transducer(PIECES)
+    r = random.Random(4)
+    weights = {a: r.random() * 9 for a in ["▁", "a", "b", "ab", "ba", "aba", "▁a", "▁ab", "bb", "b▁"]}
+    joint, root = sp_fst.compose(sp_fst.normaliser(fst.model), sp_fst.union(sp_fst.pieces(weights), sp_fst.fallback(weights)))
+    machine = sp_fst.Linked(joint, root)
+
+    def least(text):
+        if not text:
+            return 0.0
+        found = [weights[p] + least(text[len(p) :]) for p in weights if text.startswith(p)]
+        return min(found or [sp_fst._FALLBACK + least(text[1:])])
+
+    for _ in range(60):
+        text = "".join(r.choices("ab x▁", k=r.randint(1, 9)))
+        seen = text.replace(" ", "▁")
+        for labels, want in ((text, seen), ([sp_fst.START, *text], "▁" + seen)):
+            got = sp_fst.shortest(machine, labels, None)
+            assert "".join(got) == want
+            assert sum(weights.get(p, sp_fst._FALLBACK) for p in got) == pytest.approx(least(want))
+    for text in ("word", " the  internationalisation of 12345", "é中\x01\U0001f600", "ab" * 5000):
+        assert "".join(fst.path(text)) == text.replace(" ", "▁")
+        assert all(sp_fst.merge(a + b, fst.model.rank) == [a, b] for a, b in zip(fst.path(text[:200]), fst.path(text[:200])[1:], strict=False))
+
+
 def test_token_files(spark, sample):
     from tokenizers import Tokenizer
 
