@@ -2,26 +2,26 @@
 
 A payload (bytes) is stored as a PNG image of 8-bit grey samples, WIDTH to a row, losslessly. Each task writes one tar shard
 into the shared folder; a member's name is its digest, and a digest is stored once a shard. Rows carry the digest, the shard,
-the offset and the length, so any reader fetches a payload by one range read. Metadata columns come from range reads of the
-first HEADER bytes alone. Shards are reached through pyarrow's file systems, by URI (file, hdfs, s3, gs).
+the offset and the length, so any reader fetches a payload by one range read. The metadata columns (width, height, depth) come from
+range reads of the first HEADER bytes alone; digests and features of the payloads need a second, whole read. Index rows are dealt by
+place before they are read back. Shards are reached through pyarrow's file systems, by URI (file, hdfs, s3, gs).
 
 A shard's name is new with each attempt of a task, and the index of rows is itself a written table: a task that runs again
 leaves an orphan shard behind that no row names, never a broken row. `orphans` lists them.
 
 Defined cases: a null text is empty; payloads are padded with blanks to a positive multiple of WIDTH, so none is empty; equal
-texts have equal values; a null id stays null; repeated rows share one member; an empty table gives an empty table; other
+texts have equal values but for their places; a very long text is one payload, held whole by one task; a null id stays null; repeated rows share one member; an empty table gives an empty table; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,9 @@ WIDTH = 192
 #: Signature and IHDR chunk of a PNG file.
 HEADER = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
+_HEADER_COLUMNS = "width int, height int, depth int"
+#: Stored bytes that a task reads back; less than LEAST_BYTES are not worth one.
+READ_BYTES, LEAST_BYTES = 1 << 26, 1 << 20
 _INDEX = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
 
 
@@ -132,23 +135,25 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw")).mapInArrow(run, _INDEX)
 
 
-def _read(batches: Iterator[pa.RecordBatch], least: int | None, make, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """For each index row the values that make() has for its member, read once a batch. least: only so many bytes of it."""
+def _read(batches: Iterator[pa.RecordBatch], least: int | None, make: Callable[..., tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """For each index row the values that make() has for its member, read once a batch. least: only so many bytes of it. make() gets the
+    bytes, and what columns there are beyond the index's own."""
     open_at: tuple[str, pafs.FileSystem | None] = ("", None)
     source = None
     for b in batches:
         shards, offsets, lengths = (b.column(i).to_pylist() for i in (3, 4, 5))
+        more = list(zip(*(c.to_pylist() for c in b.columns[6:]), strict=True)) or [()] * b.num_rows
         held: dict[tuple[str, int], tuple] = {}
-        for key, length in sorted({((s, o), n) for s, o, n in zip(shards, offsets, lengths, strict=True)}):
+        for key, length, known in sorted({((s, o), n, m) for s, o, n, m in zip(shards, offsets, lengths, more, strict=True)}):
             if key[0] != open_at[0]:
                 if source:
                     source.close()
                 fs, path = _open(key[0])
                 source, open_at = fs.open_input_file(path), (key[0], fs)
-            held[key] = make(source.read_at(min(length, least or length), key[1]))
+            held[key] = make(source.read_at(min(length, least or length), key[1]), *known)
         rows = [held[k] for k in zip(shards, offsets, strict=True)]
         cols = list(zip(*rows, strict=True)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*b.schema.names, *names])
+        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*b.schema.names, *names])
     if source:
         source.close()
 
@@ -157,24 +162,31 @@ def metadata(index: DataFrame) -> DataFrame:
     """Index rows with width, height and depth, by range reads of the headers alone."""
     ship_package(index.sparkSession)
     names, kinds = ["width", "height", "depth"], [pa.int32()] * 3
-    return index.mapInArrow(lambda bs: _read(bs, HEADER, png_header, names, kinds), f"{_INDEX}, width int, height int, depth int")
+    return index.mapInArrow(lambda bs: _read(bs, HEADER, png_header, names, kinds), f"{_INDEX}, {_HEADER_COLUMNS}")
 
 
-def features(index: DataFrame) -> DataFrame:
-    """Index rows with digests and features of the payloads, read back from the shards."""
-    ship_package(index.sparkSession)
+def features(described: DataFrame) -> DataFrame:
+    """Rows of metadata() with digests and features of the payloads, read back whole from the shards."""
+    ship_package(described.sparkSession)
 
-    def make(media: bytes) -> tuple:
+    def make(media: bytes, width: int, height: int, depth: int) -> tuple:
         payload = png_payload(media)
-        width, height, depth = png_header(media[:HEADER])
         x = np.frombuffer(payload, np.uint8)
         text = f"png;{width}x{height}x{depth};sum={int(x.sum(dtype=np.int64))};min={int(x.min())};max={int(x.max())};distinct={int(np.count_nonzero(np.bincount(x, minlength=256)))}"
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), text
 
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    schema = f"{_INDEX}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return index.mapInArrow(lambda bs: _read(bs, None, make, names, kinds), schema)
+    schema = f"{_INDEX}, {_HEADER_COLUMNS}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return described.mapInArrow(lambda bs: _read(bs, None, make, names, kinds), schema)
+
+
+def by_place(index: DataFrame, most: int = READ_BYTES) -> DataFrame:
+    """Index rows dealt by their members' places, so that a task reads a run of one shard or of few, of about `most` bytes."""
+    rows, size = index.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    spread = min(2 * index.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES))
+    tasks = max(1, min(rows, max(spread, -(-size // most))))
+    return index.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def orphans(index: DataFrame, folder: str) -> list[str]:
@@ -185,13 +197,16 @@ def orphans(index: DataFrame, folder: str) -> list[str]:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Store all texts, read them back: doc_id, n_bytes, the payload's and the stored form's digests, and a feature."""
+    """Store all texts, read them back: doc_id, n_bytes, the payload's and the stored form's digests, a feature, the payload's place
+    (digest, shard, offset, length), and width, height and depth from the header."""
     index = stored(store(docs, scratch(docs.sparkSession, "shards")), "media-index")
-    return features(index).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", F.col("offset"), F.col("length"))
+    return features(metadata(by_place(index))).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "depth"
+    )
 
 
 def read_member(uri: str, offset: int, length: int) -> bytes:
     """One payload by its row's place."""
     fs, path = _open(uri)
     with fs.open_input_file(path) as f:
-        return png_payload(io.BytesIO(f.read_at(length, offset)).getvalue())
+        return png_payload(f.read_at(length, offset))

@@ -212,6 +212,8 @@ def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
+#: Up to so many files their offsets are broadcast; beyond, they are joined by shuffling.
+BROADCAST_FILES = 100_000
 IMAGE_SCHEMA = "part int, seq int, n_ids long, n_docs int, image binary"
 
 
@@ -275,9 +277,11 @@ def read_images(images: DataFrame) -> DataFrame:
     in_part = each.withColumn("before", F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     parts = each.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     bases = parts.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    offsets = in_part.join(F.broadcast(bases), "part").select("part", "seq", (F.col("before") + F.col("base")).alias("base"))
+    n_files = each.count()
+    small = F.broadcast if n_files <= BROADCAST_FILES else lambda x: x
+    offsets = in_part.join(small(bases), "part").select("part", "seq", (F.col("before") + F.col("base")).alias("base"))
     rows = images.select("part", "seq", "image").mapInArrow(run, "part int, seq int, doc_id long, rel long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(offsets), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("rel")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(small(offsets), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("rel")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:

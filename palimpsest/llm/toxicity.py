@@ -6,10 +6,11 @@ noisy-or of its sentences, 1 - prod(1 - score). Weights are learned from documen
 documents' likelihood through the noisy-or, and then locate the offending sentences.
 
 Training takes the labelled documents outside the held-out fold, at most POSITIVES with label 1 and NEGATIVES with label 0 (by
-smallest hash of their id). Nothing but the text goes into a score.
+smallest hash of their id), and of each label those whose texts come to at most MOST_BYTES, counted in that order. Nothing but the text goes into a score.
 
 Defined cases: a null or empty text is one empty sentence, whose score is the bias alone; a null doc_id belongs to the held-out
-fold; several labels of one document count each; repeated rows are scored row by row; an empty table gives an empty table;
+fold; several labels of one document count each; repeated rows are scored row by row, and equal texts get equal scores; a very long
+text is scored whole; an empty table gives an empty table;
 without labels of both kinds every score is the share of label 1 among the labels (0 without labels); other columns are ignored.
 """
 
@@ -21,12 +22,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, fold_of, in_slices, per_batch
 
 POSITIVES, NEGATIVES = 2000, 3000
+#: Bytes of training text of each label.
+MOST_BYTES = 1 << 24
 MIN_DOCUMENTS = 3
 ROUNDS, RATE, DECAY = 200, 0.1, 1e-4
 #: Lengths of the beginnings of words that are features beside the words themselves.
@@ -62,7 +65,8 @@ def parts_of(word: str) -> list[str]:
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0.0], np.cumsum(values)])[starts])
+    """Sums of runs, each by itself: a running sum would carry what stands before a run into its last digits."""
+    return np.bincount(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), values, len(starts) - 1)
 
 
 def _once(codes: np.ndarray, in_sentence: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +85,11 @@ def sentence_logits(model: Model, texts: pa.Array, known: dict[str, float]) -> t
     word = np.array([of_raw.setdefault(word_of(x), len(of_raw)) if w else -1 for x, w in zip(raw, weight.tolist(), strict=True)], np.int64)
     value = np.zeros(len(of_raw))
     value[word[weight != 0]] = weight[weight != 0]
+    # words are added in the order of their weights, not of their coming, so that a text's score does not depend on its batch
+    order = np.argsort(value, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    word, value = np.append(place, -1)[word], value[order]
     sentence = np.searchsorted(in_sentence, hit, "right") - 1
     pairs = np.unique(sentence * max(1, len(of_raw)) + word[codes[hit]])
     logits = np.bincount(pairs // max(1, len(of_raw)), value[pairs % max(1, len(of_raw))] if len(pairs) else None, len(in_sentence) - 1)
@@ -91,14 +100,16 @@ def document_scores(logits: np.ndarray, in_text: np.ndarray) -> np.ndarray:
     return 1 - np.exp(-_sums(np.logaddexp(0, logits), in_text))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, positives: int, negatives: int) -> list[tuple[str, int]]:
-    """Labelled texts outside the held-out fold: at most so many of each kind reach the driver."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, positives: int, negatives: int, most_bytes: int) -> list[tuple[str, int]]:
+    """Labelled texts outside the held-out fold: at most so many of each kind, and so many bytes of each kind, reach the driver."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold_of(F.col("doc_id")) != 0)).select("doc_id", F.col(label).alias("y"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = known.filter("y = 1").orderBy(*order).limit(positives).unionByName(known.filter("y = 0").orderBy(*order).limit(negatives))
-    # bounded: positives + negatives rows
+    # bounded: positives + negatives labels, of which those go on whose texts fit, counted in the same order
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
-    return [(t, y) for _, y, t in sorted(map(tuple, rows.collect()))]
+    so_far = Window.partitionBy("y").orderBy(*order, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(so_far)).filter(F.col("bytes") <= most_bytes)
+    return [(t, y) for _, y, t in sorted(map(tuple, held.select("doc_id", "y", "text").collect()))]
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
@@ -152,8 +163,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     return Model({f: float(w) for f, w in zip(kept, theta.tolist(), strict=False) if abs(w) > 1e-3}, float(theta[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES) -> Model:
-    return fit(sample(docs, labels, label, positives, negatives))
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES, most_bytes: int = MOST_BYTES) -> Model:
+    return fit(sample(docs, labels, label, positives, negatives, most_bytes))
 
 
 def _known(model: Model) -> Memo:

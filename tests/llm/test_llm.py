@@ -91,7 +91,7 @@ def test_transducer_weights():
         assert all(sp_fst.merge(a + b, fst.model.rank) == [a, b] for a, b in zip(fst.path(text[:200]), fst.path(text[:200])[1:], strict=False))
 
 
-def test_token_files(spark, sample):
+def test_token_files(spark, sample, monkeypatch):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(BYTES)
@@ -106,6 +106,8 @@ def test_token_files(spark, sample):
     assert rows(rans.token_files(table(spark, texts, ids), BYTES)) == expected
     assert rans.token_files(table(spark, []), BYTES).count() == 0
     assert len(rows(rans.token_files(table(spark, ["x", "y", None], [1, 1, None]), BYTES))) == 3
+    monkeypatch.setattr(rans, "BROADCAST_FILES", 0)
+    assert rows(rans.token_files(table(spark, texts, ids), BYTES)) == expected
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, rans.BLOCK, rans.BLOCK + 1, 3 * rans.BLOCK - 7])
@@ -396,22 +398,88 @@ def test_toxicity(spark):
     assert toxicity.fit([]).weights == {} and toxicity.fit([("a", 1)]).bias > 10
 
 
+def brute_toxicity(model, text):
+    """Noisy-or over sentences, word by word."""
+    survive = 1.0
+    for sentence in re.split("[.!?\\n]+", text or ""):
+        words = {toxicity.word_of(w) for w in sentence.split(" ")}
+        logit = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in toxicity.parts_of(w))
+        survive *= 1 - 1 / (1 + np.exp(-logit))
+    return 1 - survive
+
+
+def test_toxicity_brute_force(spark, sample):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.train(docs, labels)
+    texts = [None, "", "idiot! idiot Idiot, scum.", "You idiot scum", *sample, "Plain words. " * 20_000, "You idiot scum"]
+    got = rows(toxicity.score(table(spark, texts), model))
+    assert [r[2] for r in got] == pytest.approx([brute_toxicity(model, t) for t in texts], abs=1e-9)
+    # equal texts have equal scores, whatever stands beside them
+    alone = rows(toxicity.score(table(spark, texts[::-1], range(len(texts))[::-1]).coalesce(1), model))
+    assert [r[2] for r in alone] == [r[2] for r in got] and got[3][2] == got[-1][2]
+    # the bound on bytes, several labels of one document, repeated rows
+    d = table(spark, ["aa " * 10, "bb " * 1000, "cc", "cc", None], [1, 2, 3, 3, 4])
+    y = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 1), (4, 0), (None, 1), (5, 1)], "doc_id long, toxic int")
+    every = toxicity.sample(d, y, "toxic", 9, 9, 1 << 20)
+    kept = {i for i in range(1, 6) if zlib.crc32(str(i).encode()) % 5}
+    assert len(every) == sum(n for i, n in ((1, 1), (2, 1), (3, 4), (4, 1)) if i in kept)
+    assert all(len(t) <= 100 for t, _ in toxicity.sample(d, y, "toxic", 9, 9, 100))
+
+
+def decoded_png(image):
+    """The samples of a grey PNG file by its specification: chunks with checksums, and all five filters."""
+    assert image[:8] == b"\x89PNG\r\n\x1a\n"
+    at, data, size = 8, b"", None
+    while at < len(image):
+        n, kind = int.from_bytes(image[at : at + 4], "big"), image[at + 4 : at + 8]
+        body = image[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(image[at + 8 + n : at + 12 + n], "big")
+        if kind == b"IHDR":
+            size = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+            assert tuple(body[8:]) == (8, 0, 0, 0, 0)
+        data += body if kind == b"IDAT" else b""
+        at += 12 + n
+    assert kind == b"IEND"
+    raw, above, out = zlib.decompress(data), [0] * size[0], []
+    for y in range(size[1]):
+        line, row = raw[y * (size[0] + 1) :][: size[0] + 1], []
+        for x, v in enumerate(line[1:]):
+            a, b, c = (row[x - 1] if x else 0), above[x], (above[x - 1] if x else 0)
+            p = a + b - c
+            paeth = min((a, b, c), key=lambda q: abs(p - q))
+            row.append((v + (0, a, b, (a + b) // 2, paeth)[line[0]]) % 256)
+        out += row
+        above = row
+    return size, bytes(out)
+
+
 def test_media(spark, sample, tmp_path):
-    texts = [None, "", "a", "x" * 192, "x" * 193, "é" * 500, *sample[:40], sample[0]]
-    got = rows(media.media_columns(table(spark, texts)))
-    for (_, n, size, sha, crc, m_size, m_sha, feature, *_), t in zip(got, texts, strict=True):
-        raw = (t or "").encode()
+    texts = [None, "", "a", "x" * 192, "x" * 193, "é" * 500, *sample[:40], sample[0], "long " * 40_000]
+    out = media.media_columns(table(spark, texts))
+    assert out.columns[:8] == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        raw, r = (t or "").encode(), got[i]
         payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
-        stored = media.png(payload)
-        assert (n, size, sha, crc) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert (m_size, m_sha) == (len(stored), hashlib.sha256(stored).hexdigest()) and feature.startswith(f"png;192x{len(payload) // 192}x8")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        with open(r.shard.removeprefix("file://"), "rb") as f:
+            image = f.read()[r.offset : r.offset + r.length]
+        size, samples = decoded_png(image)
+        assert samples == payload and size == (r.width, r.height) == (192, len(payload) // 192) and r.depth == 8
+        assert (r.media_bytes, r.media_sha256, r.digest) == (len(image), hashlib.sha256(image).hexdigest(), hashlib.sha256(image).hexdigest())
+        assert r.feature == f"png;192x{size[1]}x8;sum={sum(payload)};min={min(payload)};max={max(payload)};distinct={len(set(payload))}"
+        assert media.read_member(r.shard, r.offset, r.length) == payload
     assert media.media_columns(table(spark, [])).count() == 0
+    # columns named like the operator's own do not matter
+    clash = table(spark, ["q", None]).withColumnsRenamed({"lang": "shard", "source": "digest", "n": "offset", "bucket": "raw", "sig": "n_bytes"})
+    assert [r[1] for r in rows(media.media_columns(clash))] == [1, 0]
     index = media.store(table(spark, ["a", "a", "b"]).coalesce(1), f"file://{tmp_path}").cache()
     rows_ = sorted(map(tuple, index.collect()))
     assert rows_[0][2:] == rows_[1][2:] != rows_[2][2:]
     with tarfile.open(rows_[0][3].removeprefix("file://")) as tar:
         assert sorted(tar.getnames()) == sorted({f"{r[2]}.png" for r in rows_})
-    assert media.read_member(*rows_[2][3:]) == b"b".ljust(192)
     assert {tuple(r)[6:] for r in media.metadata(index).collect()} == {(192, 1, 8)}
     (tmp_path / "lost.tar").write_bytes(b"")
     assert media.orphans(index, f"file://{tmp_path}") == ["lost.tar"]
