@@ -18,6 +18,7 @@ from palimpsest.functions import similarity as S
 from palimpsest.functions import text as X
 from palimpsest.operators import align, classify, lines, matching, metrics
 from palimpsest.operators import fuse as fusion
+from palimpsest.plans import pipelines
 from palimpsest.session import ship_package
 from palimpsest.sources.fixtures import PAGE_HEIGHT, PAGE_WIDTH, SQL_ALIGNED, SQL_BOXES, SQL_LINES, aligned_lines, doc_lines, line_boxes, pairs, table
 
@@ -513,7 +514,7 @@ def q40_conversation_diff(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", "role", kind.alias("kind"), (F.length("text") - F.length("before")).alias("growth"))
 
 
-# --- ordered matching: no SQL ---------------------------------------------------------------------------------------------------------
+# --- ordered matching and whole comparisons: no SQL ---------------------------------------------------------------------------------------------------------
 
 
 @query()
@@ -552,3 +553,10 @@ def q45_table_cells(spark: SparkSession, d: str) -> DataFrame:
     cells = F.filter(F.transform(F.split("line", r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     rows = _boxes(spark, d).filter(F.col("line").contains("|")).select("doc_id", "page_num", "line_no", "bbox", F.posexplode(cells).alias("col", "text"))
     return lines.grid(rows, ["doc_id", "page_num"], [F.col("line_no"), F.col("col")]).select("doc_id", "page_num", "row_no", "col_no", "text")
+
+
+@query()
+def q46_strict_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """The strict recipe from end to end, over all pairs of documents."""
+    out = pipelines.strict_pipeline(pipelines.from_documents(_docs(spark, d)))
+    return out.select("pair_id", "page_num", "diff_id", "diff_type", "change_type", "subtype", "old_text", "new_text", _r("confidence").alias("confidence"))

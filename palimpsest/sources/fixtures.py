@@ -1,8 +1,4 @@
-"""Comparison inputs derived from the driver's tables: lines, pages, boxes and document pairs.
-
-pairs() is the rule of the queries' SQL and linear in its input: a line that many documents hold links each with the one before
-it (by id), not all with all. all_pairs() gives every pair of documents that share enough lines.
-"""
+"""Comparison inputs derived from the driver's tables: lines, pages, boxes and document pairs."""
 
 from __future__ import annotations
 
@@ -31,24 +27,20 @@ def line_boxes(lines: DataFrame) -> DataFrame:
     return lines.withColumn("bbox", G.box(F.lit(72.0), 72.0 + 14.0 * at, F.least(F.lit(468.0), 6.0 * F.length("line")), F.lit(12.0)))
 
 
-def pairs(lines: DataFrame, least_length: int = 20, least_lines: int = 2) -> DataFrame:
-    """pair_id, doc_a, doc_b: neighbours in the list of documents that hold a line, for at least two lines of over 20 characters."""
-    held = lines.filter(F.length("line") > least_length).select("doc_id", F.xxhash64("line").alias("k"), "line").dropDuplicates(["doc_id", "line"])
-    before = F.lag("doc_id").over(Window.partitionBy("line").orderBy("doc_id"))
-    links = held.select(before.alias("doc_a"), F.col("doc_id").alias("doc_b")).filter("doc_a is not null")
-    out = links.groupBy("doc_a", "doc_b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_lines)
-    return out.select((F.col("doc_a") * 1_000_000 + F.col("doc_b")).alias("pair_id"), "doc_a", "doc_b")
-
-
 #: Holders of a line that one part of its join may have.
 SALT_HOLDERS = 1000
 
 
-def all_pairs(lines: DataFrame, least_length: int = 20) -> DataFrame:
+#: Ids of documents that may be paired lie below this, so that a pair's number is its own.
+MOST_IDS = 1 << 31
+
+
+def pairs(lines: DataFrame, least_length: int = 20) -> DataFrame:
     """pair_id, doc_a, doc_b: all documents doc_a < doc_b that share at least two lines of over 20 characters.
 
     Documents meet by all their shared lines but the most frequent: of two shared lines one is not the last in either's order. So
-    a line that all hold makes no candidates by itself. pair_id numbers the stored pairs, and holds for these rows only.
+    a line that all hold makes no candidates by itself, and a line of many holders is joined in parts. The pairs are as many as the
+    definition has. An id that is too great for pair_id raises an error.
     """
     held = lines.filter(F.length("line") > least_length).select("doc_id", "line").distinct()
     df = held.groupBy("line").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -60,7 +52,9 @@ def all_pairs(lines: DataFrame, least_length: int = 20) -> DataFrame:
     met = first.join(second, ["line", "part"]).filter("doc_a < doc_b").select("doc_a", "doc_b").distinct()
     shared = met.join(held.select(F.col("doc_id").alias("doc_a"), "line"), "doc_a").join(held.select(F.col("doc_id").alias("doc_b"), "line"), ["doc_b", "line"])
     out = shared.groupBy("doc_a", "doc_b").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    return stored(out.select(F.monotonically_increasing_id().alias("pair_id"), "doc_a", "doc_b"), "pairs")
+    fits = (F.col("doc_a") >= 0) & (F.col("doc_b") < MOST_IDS)
+    pair_id = F.when(fits, F.col("doc_a") * MOST_IDS + F.col("doc_b")).otherwise(F.raise_error(F.lit("a doc_id is too great to be paired")).cast("bigint"))
+    return stored(out.select(pair_id.alias("pair_id"), "doc_a", "doc_b"), "pairs")
 
 
 def aligned_lines(lines: DataFrame, pair: DataFrame) -> DataFrame:
@@ -77,9 +71,9 @@ doc_lines AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line, CAST(lin
 SQL_BOXES = SQL_LINES + """,
 boxes AS (SELECT *, CAST(72 AS DOUBLE) AS x, CAST(72 + 14 * (line_no % 40) AS DOUBLE) AS y, CAST(least(468, 6 * length(line)) AS DOUBLE) AS width, CAST(12 AS DOUBLE) AS height FROM doc_lines)"""
 SQL_PAIRS = SQL_LINES + """,
-pairs AS (SELECT doc_a * 1000000 + doc_b AS pair_id, doc_a, doc_b FROM (
-    SELECT lag(doc_id) OVER (PARTITION BY line ORDER BY doc_id) AS doc_a, doc_id AS doc_b FROM (SELECT DISTINCT doc_id, line FROM doc_lines WHERE length(line) > 20))
-  WHERE doc_a IS NOT NULL GROUP BY doc_a, doc_b HAVING count(*) >= 2)"""
+held AS (SELECT DISTINCT doc_id, line FROM doc_lines WHERE length(line) > 20),
+pairs AS (SELECT a.doc_id * 2147483648 + b.doc_id AS pair_id, a.doc_id AS doc_a, b.doc_id AS doc_b FROM held a JOIN held b ON a.line = b.line AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING count(*) >= 2)"""
 SQL_ALIGNED = SQL_PAIRS + """,
 aligned AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.line_no, b.line_no) AS line_no, a.line AS old_text, b.line AS new_text
   FROM (SELECT pair_id, line_no, line FROM pairs JOIN doc_lines ON doc_id = doc_a) a

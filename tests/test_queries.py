@@ -69,14 +69,16 @@ def test_ui_pipeline(spark, corpus):
     assert {r.pair_id for r in a} == {12} and 0 < len(b) <= len(a)
 
 
-def test_all_pairs(spark):
-    """Documents in between that hold the same lines hide no pair, and ids over 10^6 share no key."""
+def test_pairs(spark):
+    """Documents in between that hold the same lines hide no pair, ids over 10^6 share no key, and ids without a key are refused."""
     line = lambda k: f"a line of over twenty characters {k}"
     held = {1: "xyh", 3: "yh", 4: "xyh", 5: "h", 1_000_001: "ab", 2_000_001: "ab", 2: "xzh", 1_000_002: "ab", 6: "zhx", 7: ""}
     docs = spark.createDataFrame([(i, "\n".join(map(line, [*k, *k[:1]]))) for i, k in held.items()] + [(1, line("x")), (8, None), (None, line("x"))], "doc_id long, text string")
     got = pipelines.from_documents(docs).pairs.collect()
     want = {(a, b) for a in held for b in held if a < b and len(set(held[a]) & set(held[b])) >= 2}
     assert len(got) == len(want) == len({r.pair_id for r in got}) and {(r.doc_a, r.doc_b) for r in got} == want
+    with pytest.raises(Exception, match="too great"):
+        pipelines.from_documents(docs.withColumn("doc_id", F.col("doc_id") + 2**31)).pairs.collect()
 
 
 def test_regions(spark, corpus):
