@@ -124,14 +124,7 @@ def q05_page_checksum(spark: SparkSession, d: str) -> DataFrame:
 )
 def q06_text_class_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = _aligned(spark, d).filter("old_text is not null and new_text is not null")
-    ws = X.replace(_PLAIN.whitespace_only(), nfc_normalize=False)
-    a, b = F.col("old_text"), F.col("new_text")
-    kind = (
-        F.when(a == b, "identical")
-        .when(X.normalize_compare(a, _PLAIN) != X.normalize_compare(b, _PLAIN), "content")
-        .when(X.normalize_compare(a, ws) == X.normalize_compare(b, ws), "whitespace_only")
-        .otherwise("formatting_only")
-    )
+    kind = S.classify_text_diff("old_text", "new_text", _PLAIN)
     return rows.select(kind.alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -336,6 +329,8 @@ def q24_confidence_levels(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("value")).alias("mean"))
 
 
+_LINES_ALONE = "SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
+
 # --- layout ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -352,11 +347,17 @@ def q25_header_footer_repeat(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH {SQL_LINES} SELECT doc_id, line_no FROM (SELECT doc_id, line_no, lower(trim(line, E' \t\n\r\f')) AS t FROM doc_lines)
+    rf"""SELECT key FROM (SELECT o_orderkey AS key, lower(CASE o_orderkey % 6 WHEN 0 THEN 'Page ' || o_custkey WHEN 1 THEN 'PAGE  ' || o_custkey || ' of 9' WHEN 2 THEN '– ' || o_custkey || ' –' WHEN 3 THEN o_custkey || '/12' WHEN 4 THEN CAST(o_custkey AS VARCHAR) ELSE 'Order ' || o_custkey END) AS t FROM orders
+      UNION ALL SELECT -doc_id * 100000 - line_no - 1, lower(trim(line, E' \t\n\r\f')) FROM ({_LINES_ALONE}))
     WHERE regexp_matches(t, '^[0-9]{{1,4}}$') OR regexp_matches(t, '^page\s+[0-9]+(\s+of\s+[0-9]+)?$') OR regexp_matches(t, '^[-–—]\s*[0-9]+\s*[-–—]$') OR regexp_matches(t, '^[0-9]+\s*(/|of)\s*[0-9]+$')"""
 )
 def q26_page_number_pattern(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d).filter(Q.is_page_number("line")).select("doc_id", "line_no")
+    """The documents' lines (negative keys), and, as these hold no page number, numbers of orders written in each form and in none."""
+    n = F.col("o_custkey").cast("string")
+    forms = (F.concat(F.lit("Page "), n), F.concat(F.lit("PAGE  "), n, F.lit(" of 9")), F.concat(F.lit("– "), n, F.lit(" –")), F.concat(n, F.lit("/12")), n, F.concat(F.lit("Order "), n))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("line"))
+    own = _lines(spark, d).select((-F.col("doc_id") * 100_000 - F.col("line_no") - 1).alias("key"), "line")
+    return orders.unionByName(own).filter(Q.is_page_number("line")).select("key")
 
 
 _SQL_MODULES = f"""{_SQL_DIFFS},
@@ -446,13 +447,9 @@ def q33_average_spacing(spark: SparkSession, d: str) -> DataFrame:
       s[least(CAST(floor(len(s) * 0.1) AS BIGINT), len(s) - 1) + 1] AS p10, s[least(CAST(floor(len(s) * 0.5) AS BIGINT), len(s) - 1) + 1] AS p50, s[least(CAST(floor(len(s) * 0.9) AS BIGINT), len(s) - 1) + 1] AS p90 FROM c"""
 )
 def q34_manifest(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lines(spark, d).groupBy("doc_id").agg(
-        F.count_distinct("page_num").alias("n_pages"),
-        F.count(F.lit(1)).alias("n_lines"),
-        F.sum(F.length("line")).alias("n_chars"),
-        F.array_sort(F.collect_list(F.length("line").cast("bigint"))).alias("s"),
-    )
-    return rows.select("doc_id", "n_pages", "n_lines", "n_chars", *(metrics.nearest_rank(F.col("s"), p).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)))
+    """Lines as blocks, with their lengths in the place of confidences."""
+    rows = _lines(spark, d).select("doc_id", "page_num", F.col("line").alias("text"), F.length("line").cast("bigint").alias("confidence"), F.lit(False).alias("is_ocr"))
+    return metrics.manifest(rows).select("doc_id", "n_pages", F.col("n_blocks").alias("n_lines"), "n_chars", *(F.col(f"confidence_p{p}").alias(f"p{p}") for p in (10, 50, 90)))
 
 
 _SQL_PRF = """m AS (SELECT lang, quality = 0 AS truth, n_chars < 600 AS pred FROM documents JOIN labels USING (doc_id)),
