@@ -2,7 +2,7 @@
 
 A byte goes if some LENGTH-byte string over it also starts earlier (in a smaller doc_id, or earlier in the same document).
 Suffixes are sorted by deep-shallow sorting: multikey quicksort, eight bytes a key and all open groups at once, to a shallow
-depth; blind tries then order the groups whose members still agree. Sorting all suffixes of a corpus in one place is neither
+depth of SHALLOW keys; blind tries then order the groups whose members still agree. Sorting all suffixes of a corpus in one place is neither
 possible nor needed:
 
 1. Anchors: in each LENGTH-byte string the GRAM-byte string of smallest hash is an anchor, so equal strings have equal anchors
@@ -18,7 +18,8 @@ possible nor needed:
 
 All is exact: hashes only bring together what is then compared byte by byte. Defined cases: a null text is empty; texts with less than LENGTH
 bytes keep all; a null doc_id comes before all others; rows that share a doc_id but not their text are ordered by their text's
-hash; rows equal in both are judged alike and do not remove each other; an empty table gives an empty table; other columns are
+hash; rows equal in both are judged alike and do not remove each other; a very long text is looked at in pieces, and a long run of a
+short period by its first strings, as all others in it repeat these; an empty table gives an empty table; other columns are
 ignored (`deduplicated` keeps them). A cut can fall inside a character: `deduplicated` leaves out its stray bytes.
 """
 
@@ -43,6 +44,12 @@ BLOCK_BYTES = 1 << 24
 #: Bytes of text whose windows are looked at together.
 PIECE = 1 << 21
 SHALLOW = 5
+#: Bytes that repeat after at most so many are treated as a run.
+PERIOD = LEFT // 2
+#: Bytes between the places where runs are looked for.
+STEP = 32
+#: Anchors whose surroundings are held together.
+CHUNK = 1 << 17
 _U = np.uint64
 
 
@@ -103,6 +110,41 @@ def blind_trie_order(strings: list[bytes]) -> list[int]:
     return out
 
 
+def multikey_quicksort(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of keys (m x k) sorted by their first `depth` keys: the order, and for each place in it where its run of equal rows starts.
+
+    Each open group is parted three ways by a pivot (the median of its first, middle and last key at the group's depth); what
+    equals the pivot goes one key deeper. All open groups take a step at once, so a step is a few passes over arrays.
+    """
+    m = len(words)
+    order, group, deep = np.arange(m), np.zeros(m, np.int64), np.zeros(m, np.int64)
+    open_at = np.arange(m if m > 1 and depth else 0)
+    while len(open_at):
+        own = group[open_at]
+        key = words[order[open_at], deep[open_at]].astype(_U)
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        size = np.diff(np.append(first, len(own)))
+        a, b, c = key[first], key[first + size // 2], key[first + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+        less, more = key < pivot, key > pivot
+        # where each part of a group begins, and each row's place in its part
+        ahead = lambda x: np.cumsum(x) - x
+        before = [ahead(x.astype(np.int64)) for x in (less, ~(less | more), more)]
+        place = [x - np.repeat(x[first], size) for x in before]
+        n_less, n_more = (np.add.reduceat(x.astype(np.int64), first) for x in (less, more))
+        of_equal, of_more = np.repeat(first + n_less, size), np.repeat(first + size - n_more, size)
+        begin = np.where(less, np.repeat(first, size), np.where(more, of_more, of_equal))
+        to = begin + np.where(less, place[0], np.where(more, place[2], place[1]))
+        at = open_at[to]
+        order[at] = order[open_at]
+        group[at] = open_at[begin]
+        deep[at] = deep[open_at] + ~(less | more)
+        own = group[open_at]
+        again = np.append(own[1:] == own[:-1], False)
+        open_at = open_at[(again | np.append(False, again[:-1])) & (deep[open_at] < depth)]
+    return order, group
+
+
 def deep_shallow(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted order of byte rows (m x k), and each one's common prefix with the row before it in this order."""
     m, k = rows.shape
@@ -111,22 +153,10 @@ def deep_shallow(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     wide = np.zeros((m, -(-k // 8) * 8), np.uint8)
     wide[:, :k] = rows
     words = wide.view(">u8")
-    order = np.arange(m)
-    group = np.zeros(m, np.int64)  # of each place in the order: where its group starts
-    open_at = np.arange(m)  # places in groups of two or more
-    for w in range(min(SHALLOW, words.shape[1])):
-        key = words[order[open_at], w].astype(_U)
-        by = np.lexsort((key, group[open_at]))
-        order[open_at] = order[open_at[by]]
-        key, own = key[by], group[open_at]
-        new = np.ones(len(by), bool)
-        new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-        group[open_at] = open_at[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-        single = new & np.append(new[1:], True)
-        open_at = open_at[~single]
-        if not len(open_at):
-            break
-    if len(open_at) and words.shape[1] > SHALLOW:
+    order, group = multikey_quicksort(words, min(SHALLOW, words.shape[1]))
+    if words.shape[1] > SHALLOW:
+        again = np.append(group[1:] == group[:-1], False)
+        open_at = np.flatnonzero(again | np.append(False, again[:-1]))
         firsts = group[open_at]
         rest = wide[:, SHALLOW * 8 : k]
         # groups whose rows all agree need no trie
@@ -180,6 +210,35 @@ def _slide(x: np.ndarray, n: int, take: np.ufunc) -> np.ndarray:
     return take(x[: len(x) - (n - step)], x[n - step :]) if n > step else x
 
 
+def periodic_runs(raw: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+    """start, end, period of each run of at least LENGTH + period bytes that repeat every period <= PERIOD bytes, in one document.
+
+    In a run a string equals the one a period before, so all that start a period or more after the run's start are repeats.
+    """
+    n, out = len(raw), []
+    for p in range(1, PERIOD + 1):
+        m = (n - p) // 8
+        # eight bytes from a multiple of STEP on, and the same a period later; a run holds two of these in a row
+        hit = raw[: 8 * max(0, m)].view("<u8")[:: STEP // 8] == raw[p : p + 8 * max(0, m)].view("<u8")[:: STEP // 8]
+        if not (hit[1:] & hit[:-1]).any():
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+        for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if last - first < 2:
+                continue
+            lo, hi = max(0, first - 1) * STEP, min(n, last * STEP + 8 + p)
+            k = int(np.searchsorted(ends, lo, "right"))
+            while lo < hi:  # in each document by itself
+                end = min(hi, int(ends[k]))
+                if end - lo >= LENGTH + p:
+                    same = np.zeros(end - lo - p + 2, np.int8)
+                    same[1:-1] = raw[lo + p : end] == raw[lo : end - p]
+                    at = np.flatnonzero(np.diff(same))
+                    out += [(lo + x, lo + y + p, p) for x, y in zip(at[::2].tolist(), at[1::2].tolist(), strict=True) if y - x >= LENGTH]
+                lo, k = end, k + 1
+    return out
+
+
 _SPREAD = _mix(np.arange(1, 257, dtype=_U)).astype(np.uint32)
 
 
@@ -200,6 +259,8 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     least = _slide(h, LEFT + 1, np.minimum)  # of each LENGTH-byte string
     for e in ends[:-1].tolist():  # no string crosses documents
         least[max(0, e - LENGTH + 1) : e] = 0
+    for start, end, period in periodic_runs(raw, ends):  # of a run's strings the first ones, and one that repeats, stand for all
+        least[start + period + 1 : end - LENGTH + 1] = 0
     most = _slide(np.concatenate([np.zeros(LEFT, np.uint32), least, np.zeros(LEFT, np.uint32)]), LEFT + 1, np.maximum)
     return np.flatnonzero(most == h)
 
@@ -360,45 +421,57 @@ def _surroundings(base: DataFrame, repeated: DataFrame, buckets: int) -> DataFra
     """Blocks of anchors with the bytes around them; bucket -1: spans that are already known (d, h, pos, and their size in n_right)."""
     width = LEFT + LENGTH
 
+    def held(s: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        """Surroundings, n_left, n_right, d, h, pos of up to CHUNK anchors at a time."""
+        parts, size = [], 0
+        for dd, hh, raw, blob in zip(*(s.column(i).to_pylist() for i in range(4)), strict=True):
+            every = np.frombuffer(blob, "<u4").astype(np.int64)
+            x = np.zeros(len(raw) + width, np.uint8)
+            x[LEFT : LEFT + len(raw)] = np.frombuffer(raw, np.uint8)
+            around = np.lib.stride_tricks.sliding_window_view(x, width)
+            for lo in range(0, len(every), CHUNK):
+                at = every[lo : lo + CHUNK]
+                parts.append((around[at], np.minimum(at, LEFT), np.minimum(len(raw) - at, LENGTH), np.full(len(at), dd, np.int64), np.full(len(at), hh, np.int64), at))
+                size += len(at)
+                if size >= CHUNK:
+                    yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+                    parts, size = [], 0
+        if parts:
+            yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+    def runs(s: pa.RecordBatch) -> tuple:
+        """What is known of runs: all but their first period repeats."""
+        found = [(dd, hh, start + p, end - start - p) for dd, hh, raw in zip(*(s.column(i).to_pylist() for i in range(3)), strict=True) for start, end, p in periodic_runs(np.frombuffer(raw, np.uint8), np.array([len(raw)]))]
+        d, h, pos, size = (np.array(x, "<i8") for x in (zip(*found, strict=True) if found else ((),) * 4))
+        return (-1, b"", b"", size.tobytes(), b"", d.tobytes(), h.tobytes(), pos.tobytes(), 1)
+
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for s in in_slices(b, 2):
-            ctx, n_l, n_r, d, h, pos = [], [], [], [], [], []
-            for dd, hh, raw, blob in zip(*(s.column(i).to_pylist() for i in range(4)), strict=True):
-                at = np.frombuffer(blob, "<u4").astype(np.int64)
-                x = np.zeros(len(raw) + width, np.uint8)
-                x[LEFT : LEFT + len(raw)] = np.frombuffer(raw, np.uint8)
-                ctx.append(np.lib.stride_tricks.sliding_window_view(x, width)[at])
-                n_l.append(np.minimum(at, LEFT))
-                n_r.append(np.minimum(len(raw) - at, LENGTH))
-                d.append(np.full(len(at), dd, np.int64))
-                h.append(np.full(len(at), hh, np.int64))
-                pos.append(at)
-            if not ctx:
-                continue
-            c, nl, nr, d, h, pos = (np.concatenate(x) for x in (ctx, n_l, n_r, d, h, pos))
-            order = _places(d, h, pos)
-            c, nl, nr, d, h, pos = (x[order] for x in (c, nl, nr, d, h, pos))
-            # of anchors whose surroundings are equal, only the first travels; all strings of the others occur earlier
-            whole = np.concatenate([c, nl[:, None].astype(np.uint8), nr[:, None].astype(np.uint8)], axis=1)
-            key = np.ascontiguousarray(whole).view(np.dtype((np.void, whole.shape[1]))).ravel()
-            again = np.ones(len(key), bool)
-            seen: dict[bytes, int] = {}
-            for i, k in enumerate(key.tolist()):
-                again[i] = seen.setdefault(k, i) != i
-            low, high = np.maximum(0, LENGTH - nr), np.minimum(nl, LEFT)
-            known = again & (low <= high)
-            rows = []
-            if known.any():
-                rows.append((-1, b"", b"", (high - low + LENGTH)[known].astype("<i8").tobytes(), b"", d[known].tobytes(), h[known].tobytes(), (pos - high)[known].tobytes(), 1))
-            keep = np.flatnonzero(~again)
-            bucket = (_gram_hash(c[keep].ravel() if len(keep) else np.zeros(width, np.uint8), np.arange(len(keep)) * width + LEFT) % _U(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            keep, bucket = keep[order], bucket[order]
-            cut = _cuts(bucket)
-            for lo, hi in zip(cut, cut[1:], strict=False):
-                i = keep[lo:hi]
-                rows.append((int(bucket[lo]), c[i, LEFT:].tobytes(), c[i, :LEFT][:, ::-1].tobytes(), nr[i].astype(np.uint8).tobytes(), nl[i].astype(np.uint8).tobytes(), d[i].tobytes(), h[i].tobytes(), pos[i].tobytes(), 0))
-            yield _batch(rows, [x.split()[0] for x in _SURROUNDED.split(", ")], [pa.int32(), *[pa.binary()] * 7, pa.int32()])
+            rows = [runs(s)]
+            for c, nl, nr, d, h, pos in held(s):
+                order = _places(d, h, pos)
+                c, nl, nr, d, h, pos = (x[order] for x in (c, nl, nr, d, h, pos))
+                # of anchors whose surroundings are equal, only the first travels; all strings of the others occur earlier
+                whole = np.concatenate([c, nl[:, None].astype(np.uint8), nr[:, None].astype(np.uint8)], axis=1)
+                key = np.ascontiguousarray(whole).view(np.dtype((np.void, whole.shape[1]))).ravel()
+                again = np.ones(len(key), bool)
+                seen: dict[bytes, int] = {}
+                for i, k in enumerate(key.tolist()):
+                    again[i] = seen.setdefault(k, i) != i
+                low, high = np.maximum(0, LENGTH - nr), np.minimum(nl, LEFT)
+                known = again & (low <= high)
+                if known.any():
+                    rows.append((-1, b"", b"", (high - low + LENGTH)[known].astype("<i8").tobytes(), b"", d[known].tobytes(), h[known].tobytes(), (pos - high)[known].tobytes(), 1))
+                keep = np.flatnonzero(~again)
+                bucket = (_gram_hash(c[keep].ravel() if len(keep) else np.zeros(width, np.uint8), np.arange(len(keep)) * width + LEFT) % _U(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                keep, bucket = keep[order], bucket[order]
+                cut = _cuts(bucket)
+                for lo, hi in zip(cut, cut[1:], strict=False):
+                    i = keep[lo:hi]
+                    rows.append((int(bucket[lo]), c[i, LEFT:].tobytes(), c[i, :LEFT][:, ::-1].tobytes(), nr[i].astype(np.uint8).tobytes(), nl[i].astype(np.uint8).tobytes(), d[i].tobytes(), h[i].tobytes(), pos[i].tobytes(), 0))
+                yield _batch(rows, [x.split()[0] for x in _SURROUNDED.split(", ")], [pa.int32(), *[pa.binary()] * 7, pa.int32()])
+                rows = []
 
     return per_batch(base.join(repeated, ["d", "h"]).select("d", "h", "raw", "pos"), run, _SURROUNDED)
 

@@ -195,6 +195,34 @@ def test_suffix_dedup_empty_and_equal_ids(spark):
     assert [r[2] for r in rows(suffix_dedup.removed(table(spark, [t, t], [None, 1])))] == [0, 300]
 
 
+def test_suffix_dedup_runs(spark):
+    """Long runs of short periods, which make few anchors, beside texts that end or begin in such runs."""
+    r = random.Random(7)
+    junk = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    pool = [" " * 500, "ab" * 300, "=-=" * 90, "0123456789" * 40, "x" * 170, "abcdefghijklmnopqrstuvwxyz01234567" * 12, "abcdefghijklmnopqrstuvwxyz012345678" * 12]
+    texts = [None, *pool, *(junk(r.randint(0, 60)) + p[r.randint(0, 40) :] + junk(r.randint(0, 60)) + r.choice(pool) for p in pool for _ in range(3)), " " * 101, " " * 100]
+    assert [x[1:] for x in rows(suffix_dedup.removed(table(spark, texts).repartition(2)))] == brute_repeats(texts)
+    long = [" " * 5_000_000, "ab" * 1_000_000 + "#" + junk(200)]
+    assert all(len(at) < 5000 for _, at in suffix_dedup.anchors_of([t.encode() for t in long]))
+    assert [x[2:4] for x in rows(suffix_dedup.removed(table(spark, long)))] == [(4_999_999, 1), (1_999_998, 1)]
+
+
+def test_suffix_dedup_chunks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 3)
+    texts = repeated_texts(2)
+    assert [x[1:] for x in rows(suffix_dedup.removed(table(spark, texts)))] == brute_repeats(texts)
+
+
+def test_multikey_quicksort():
+    r = np.random.default_rng(0)
+    for m, top in ((0, 2), (1, 2), (300, 2), (300, 50), (200, 1)):
+        x = r.integers(0, top, (m, 4)).astype(np.uint64)
+        order, group = suffix_dedup.multikey_quicksort(x, 3)
+        keys = [tuple(v[:3]) for v in x[order].tolist()]
+        assert sorted(order.tolist()) == list(range(m)) and keys == sorted(keys)
+        assert [keys.index(v) for v in keys] == group.tolist()
+
+
 def test_deep_shallow():
     r = random.Random(3)
     x = np.array([[r.choice(b"ab") for _ in range(100)] for _ in range(200)], np.uint8)
