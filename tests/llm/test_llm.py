@@ -564,12 +564,45 @@ def test_decontamination_shuffled(spark, monkeypatch):
     assert [r[2:4] for r in got] == [(10, 2), (2, 1), (0, 0)]
 
 
-def test_proximity(spark):
+def brute_proximity(texts, items, size=decontam.WINDOW, within=decontam.NEAR):
+    """Each text's number of items with a window whose distinct words all stand near its rarest."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    docs = [words(t) for t in texts]
+    count = {}
+    for w in docs:
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    out = [set() for _ in texts]
+    for item, text in items:
+        v = words(text)
+        for k in range(max(1, len(v) - size + 1) if v else 0):
+            q = list(dict.fromkeys(v[k : k + size]))
+            if item is None or not all(x in count for x in q):
+                continue
+            rare = min(q, key=lambda x: (count[x], q.index(x)))
+            for i, w in enumerate(docs):
+                if any(x == rare and set(q) <= set(w[max(0, at - within) : at + within + 1]) for at, x in enumerate(w)):
+                    out[i].add(item)
+    return [len(x) for x in out]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_proximity(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
     docs = table(spark, ["red x x green x blue", "red " + "x " * 20 + "green blue", "blue green red red"])
-    q = decontam.query_terms(decontam.windows(spark.createDataFrame([(1, "red green blue")], "item_id long, text string")))
-    index = decontam.build_index(docs, q, 3)
-    got = {r.d for r in decontam.proximity(index, q, 5).collect()}
+    items = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
+    q = decontam.query_terms(decontam.windows(items))
+    index, _ = decontam.build_index(docs, q, 3)
+    got = {r.d for r in decontam.proximity(index, q, 3, 5).collect()}
     assert got == {0, 2}
+    r = random.Random(3)
+    words = lambda n: " ".join(r.choices("abcdefghijÉé", k=n))
+    texts = [None, "", *(words(r.randint(1, 70)) for _ in range(25)), "zz " + "pad " * 20 + "yy", "zz " + "pad " * 19 + "yy", "yy zz yy", "zz"]
+    items = [(1, words(4)), (2, words(6)), (2, "a"), (3, words(14)), (4, "yy zz"), (5, None), (6, "never here a"), (None, "b"), (7, "zz")]
+    out = rows(decontam.decontaminate(table(spark, [*texts, texts[3]], [*range(len(texts)), 3]), spark.createDataFrame(items, "item_id long, text string")))
+    want = brute_proximity([*texts, texts[3]], items)
+    assert [x[6] for x in out] == [w for i, w in sorted([*enumerate(want[:-1]), (3, want[-1])], key=lambda x: x[0])] and len(set(want)) > 2
 
 
 def test_pipeline(spark):
