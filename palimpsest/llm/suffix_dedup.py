@@ -441,8 +441,12 @@ def _surroundings(base: DataFrame, repeated: DataFrame, buckets: int) -> DataFra
 
     def runs(s: pa.RecordBatch) -> tuple:
         """What is known of runs: all but their first period repeats."""
-        found = [(dd, hh, start + p, end - start - p) for dd, hh, raw in zip(*(s.column(i).to_pylist() for i in range(3)), strict=True) for start, end, p in periodic_runs(np.frombuffer(raw, np.uint8), np.array([len(raw)]))]
-        d, h, pos, size = (np.array(x, "<i8") for x in (zip(*found, strict=True) if found else ((),) * 4))
+        raws = s.column(2).to_pylist()
+        ends = np.cumsum([len(x) for x in raws])
+        found = np.array(periodic_runs(np.frombuffer(b"".join(raws), np.uint8), ends), "<i8").reshape(-1, 3)
+        own = np.searchsorted(ends, found[:, 0], "right")
+        pos = found[:, 0] + found[:, 2] - (ends - [len(x) for x in raws])[own]
+        size, d, h = (x.astype("<i8") for x in (found[:, 1] - found[:, 0] - found[:, 2], s.column(0).to_numpy()[own], s.column(1).to_numpy()[own]))
         return (-1, b"", b"", size.tobytes(), b"", d.tobytes(), h.tobytes(), pos.tobytes(), 1)
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
