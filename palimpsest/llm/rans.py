@@ -20,6 +20,7 @@ text; an empty table gives no file; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import ship_package, stored
 
-from .common import Memo, cut_at_blanks, in_slices
+from .common import cut_at_blanks, in_slices
 
 MAGIC = b"PALRANS1"
 LANES, BLOCK, FILE_IDS = 64, 1 << 16, 1 << 21
@@ -152,6 +153,10 @@ def unpack(image: bytes, blocks: slice = slice(None)) -> tuple[np.ndarray, np.nd
     return ids.reshape(-1)[: max(0, last)], doc_ids, lengths
 
 
+#: Words whose ids a worker holds.
+MEMO = 600_000
+
+
 class Tokens:
     """Ids of whole texts by the tokenizers library; words met before come from a bounded memo.
 
@@ -164,20 +169,31 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.known: Memo = Memo(str, 600_000)
+        self.known: dict[str, bytes] = {}
+        self.aside: dict[str, bytes] = {}
         #: Texts that are not cut: white space in a row or of another kind, or the mark that cutting uses.
         self.odd = " [ \\n]|\\n |[\\t\\r\\x01-\\x08\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
     def learn(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words; those not in the memo go to the library at once."""
-        out = [self.known.get(w) for w in words]
-        new = [i for i, x in enumerate(out) if x is None]
+        out = list(map(self.known.get, words))
+        new = []
+        for i, x in enumerate(out):
+            if x is None:
+                x = out[i] = self.aside.get(words[i])
+                if x is None:
+                    new.append(i)
+                else:
+                    self.known[words[i]] = x
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
-            if len(self.known) + len(part) > self.known.bound:
-                self.known.clear()
-            for i, e in zip(part, self.lib.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
-                out[i] = self.known[words[i]] = np.array(e.ids, "<u4").tobytes()
+            if len(self.known) + len(part) > MEMO // 2:  # frequent words come back from aside
+                self.known, self.aside = {}, self.known
+            ids = [e.ids for e in self.lib.encode_batch_fast([words[i] for i in part], add_special_tokens=False)]
+            raw = np.array(list(itertools.chain.from_iterable(ids)), "<u4").tobytes()
+            ends = list(itertools.accumulate(4 * len(x) for x in ids))
+            for i, at, end in zip(part, [0, *ends], ends, strict=False):
+                out[i] = self.known[words[i]] = raw[at:end]
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
