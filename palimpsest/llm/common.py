@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,6 +19,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers stay from stage to stage, their memory should not."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply fn to each Arrow batch. fn may return one batch or several; of a generator one at a time is held."""
     ship_package(df.sparkSession)
@@ -25,12 +36,12 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = fn(b)
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+            for x in (out,) if isinstance(out, pa.RecordBatch) else out:
+                yield x
+                del x
+                release()
             del b, out
-            pa.default_memory_pool().release_unused()  # workers stay, their memory should not
+            release()
 
     return df.mapInArrow(run, schema)
 

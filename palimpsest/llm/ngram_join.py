@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import drop_stored, ship_package, stored
 
-from .common import in_slices, per_batch
+from .common import in_slices, per_batch, release
 
 SHINGLE, NUM, DEN = 5, 4, 5
 #: Tokens a block of the shared-token step should hold, and sets a token's list may have before it is split.
@@ -142,6 +142,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tupl
             held.append(row)
     if held:
         yield held
+    del held
+    release()
 
 
 _SHARED = "home int, tok binary, sig binary, n binary, df binary"

@@ -46,7 +46,7 @@ _FALLBACK = 1e6
 #: START stands before a whole text.
 EPS, ANY, SAME, START = "", "any", "same", "start"
 #: Bytes of text that are encoded together.
-SLICE = 1 << 23
+SLICE = 1 << 22
 _CHUNK = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import drop_stored, ship_package, stored
 
-from .common import in_slices, per_batch
+from .common import in_slices, per_batch, release
 
 LENGTH, GRAM = 100, 32
 LEFT = LENGTH - GRAM
@@ -325,6 +325,8 @@ def _rows_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
             held.append(row)
     if held:
         yield held
+    del held
+    release()
 
 
 def _all(rows: list[tuple], i: int, kind: str) -> np.ndarray:
