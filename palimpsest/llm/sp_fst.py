@@ -46,7 +46,7 @@ _FALLBACK = 1e6
 #: START stands before a whole text.
 EPS, ANY, SAME, START = "", "any", "same", "start"
 #: Bytes of text that are encoded together.
-SLICE = 1 << 22
+SLICE = 1 << 23
 _CHUNK = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
 
 
@@ -133,7 +133,7 @@ def compose(a: Fst, b: Fst) -> tuple[Fst, int]:
 class Order(Memo):
     """Whether a symbol may follow another: an acceptor with a state for each symbol, whose arcs are made when first met."""
 
-    def __init__(self, rank: dict[str, float], bound: int = 200_000):
+    def __init__(self, rank: dict[str, float], bound: int = 300_000):
         super().__init__(lambda pair: merge(pair[0] + pair[1], rank) == list(pair), bound)
 
 
@@ -207,8 +207,8 @@ class Transducer:
         both = lambda x: {" ", SPACE} if x == SPACE else {x}
         #: Characters, as they are read, that stand side by side inside some piece.
         self.joined = {a + b for x in m.joined for a in both(x[0]) for b in both(x[1])}
-        self.part = Memo(self._encode_part, 300_000)
-        self.word = Memo(self._encode_chunk, 300_000)
+        self.part = Memo(self._encode_part, 500_000)
+        self.word = Memo(self._encode_chunk, 500_000)
         bytes_of = {i: bytes([b]) for b, i in m.byte_id.items()}
         self.written = [
             bytes_of.get(i, b"" if i in m.control else b" \xe2\x81\x87 " if i == m.unk_id else p.replace(SPACE, " ").encode())
