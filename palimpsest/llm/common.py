@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,23 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.session import ship_package
+from palimpsest.session import release, ship_package
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
-
-
-def release() -> None:
-    """Give freed memory back to the system: workers stay from stage to stage, their memory should not."""
-    pa.default_memory_pool().release_unused()
-    if _TRIM:
-        _TRIM(0)
-
-
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply fn to each Arrow batch. fn may return one batch or several; of a generator one at a time is held."""
     ship_package(df.sparkSession)
