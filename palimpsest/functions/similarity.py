@@ -245,12 +245,23 @@ def jaccard(a: C, b: C) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
 
 
+def jaccard_of_sizes(a: C, b: C, both: C) -> Column:
+    """jaccard() of two sets by their sizes and that of what they share."""
+    n_a, n_b, n = _col(a), _col(b), _col(both)
+    return F.when((n_a > 0) & (n_b > 0), n / (n_a + n_b - n)).otherwise(0.0)
+
+
+def ngram_form(c: C) -> Column:
+    """The text whose runs of characters char_ngrams() gives."""
+    return F.lower(F.trim(_text(c)))
+
+
 def char_ngrams(c: C, n: int = 3) -> Column:
     """Distinct strings of n characters of the stripped lower-case text."""
     # the text is bound as a variable, else it is put in lower case again for each place
     places = lambda t: F.sequence(F.lit(1), F.length(t) - n + 1)
     grams = lambda t: F.when(F.length(t) >= n, F.array_distinct(F.transform(places(t), lambda i: F.substring(t, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.array(F.lower(F.trim(_text(c)))), grams)[0]
+    return F.transform(F.array(ngram_form(c)), grams)[0]
 
 
 def char_ngram_hashes(c: C, n: int = 3) -> Column:
