@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import ship_package, stored
 
-from .common import cut_at_blanks, in_slices
+from .common import in_slices
 
 MAGIC = b"PALRANS1"
 LANES, BLOCK, FILE_IDS = 64, 1 << 16, 1 << 21
@@ -157,10 +157,33 @@ def unpack(image: bytes, blocks: slice = slice(None)) -> tuple[np.ndarray, np.nd
 MEMO = 600_000
 
 
+def cut(texts: pa.Array, marks: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pieces of texts, each piece's place among them, and where each text's pieces start.
+
+    Cuts are made before each blank; with marks also before the first of some line feeds, and before a full stop or comma that
+    follows a letter of ASCII.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
+    data = texts.buffers()[2] if offsets[-1] else pa.py_buffer(b"")
+    x = np.frombuffer(data, np.uint8, offsets[-1])[offsets[0] :]
+    at = x == 32
+    if marks and len(x):
+        low = x | 32
+        after = np.r_[False, ((low >= 97) & (low <= 122))[:-1]]
+        at |= ((x == 46) | (x == 44)) & after
+        at[1:] |= (x[1:] == 10) & (x[:-1] != 10)
+    cuts = np.flatnonzero(at).astype(np.int32) + offsets[0]
+    starts = np.arange(len(texts) + 1) + np.append(np.searchsorted(cuts, offsets[:-1]), len(cuts))
+    ends = np.sort(np.concatenate([offsets, cuts]))
+    pieces = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), data).dictionary_encode()
+    return pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy(), starts
+
+
 class Tokens:
     """Ids of whole texts by the tokenizers library; words met before come from a bounded memo.
 
-    A byte-level BPE tokenizer never joins a character that is no white space with a blank after it, so a text is cut there.
+    A byte-level BPE tokenizer never joins a character that is no white space with a blank or line feed after it, nor a letter with a
+    full stop or comma after it, so a text is cut there: words that differ only in what follows them are one in the memo.
     Texts with white space in a row, or of other kinds than blanks and line feeds, go to the library whole.
     """
 
@@ -171,6 +194,8 @@ class Tokens:
         self.lib = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.aside: dict[str, bytes] = {}
+        #: Whether texts may be cut at these marks: no added token, which the library finds first, holds one.
+        self.marks = not any(c in t.content for t in self.lib.get_added_tokens_decoder().values() for c in "\n.,")
         #: Texts that are not cut: white space in a row or of another kind, or the mark that cutting uses.
         self.odd = " [ \\n]|\\n |[\\t\\r\\x01-\\x08\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
@@ -198,9 +223,9 @@ class Tokens:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids (uint32) of all texts, and the number of each text's ids."""
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts, "").cast(pa.string())
         odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
-        words, codes, starts = cut_at_blanks(texts.filter(pa.array(~odd)))
+        words, codes, starts = cut(texts.filter(pa.array(~odd)), self.marks)
         ids = self.learn(words)
         size = np.array([len(x) // 4 for x in ids], np.int64)
         table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<u4")))

@@ -110,6 +110,21 @@ def test_token_files(spark, sample, monkeypatch):
     assert rows(rans.token_files(table(spark, texts, ids), BYTES)) == expected
 
 
+def test_token_files_pieces():
+    """Texts are cut so that a word is one in the memo, whatever mark or line feed follows it, and the ids stay those of whole texts."""
+    held, lib = rans.Tokens(BYTES), rans.tokens(BYTES).lib
+    texts = ["word.", "a word, a word.\nword\n\nword", "a word\nword", "word"]
+    held.encode(pa.array(texts))
+    assert set(held.known) == {"word", " word", ".", ",", "a", " a", "\nword", "\n\nword"}
+    rng = random.Random(7)
+    parts = ["a", "Bc", "é", "'s", "'ll", ".", ",", ".,", "...", "\n", "\n\n", " ", " x", "7", "1.5", "!", "<|endoftext|>", "<|end", "中", "\u0301", "\U0001f600", "\u200b", "\t", "'"]
+    texts = [None, "", ".", ",a", "\n", *ODD, *("".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(5000))]
+    for some in (pa.array(texts), pa.array(texts).slice(3), pa.array([None, ""]), pa.array([], pa.string())):
+        ids, n = rans.Tokens(BYTES).encode(some)
+        want = [lib.encode(t or "", add_special_tokens=False).ids for t in some.to_pylist()]
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, rans.BLOCK, rans.BLOCK + 1, 3 * rans.BLOCK - 7])
 def test_rans_images(n):
     ids = (np.random.default_rng(n).zipf(1.3, n) % 50_000).astype(np.uint32)
