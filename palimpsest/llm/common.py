@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,11 +20,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_KEPT: list = []
+
+
+def kept_by_worker(make: Callable) -> Callable:
+    """A decorator: what `make` gives stays in a worker process from task to task, until another module's per_batch() starts there."""
+    held = functools.lru_cache(maxsize=2)(make)
+    _KEPT.append(held)
+    return held
+
+
+def free_others(module: str) -> None:
+    """Drop what modules but this one keep in this process: workers go from operator to operator, their models and memos should not."""
+    for held in _KEPT:
+        if held.__module__ != module and held.cache_info().currsize:
+            held.cache_clear()
+            gc.collect()  # memos call methods of what holds them
+            release()
+
+
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply fn to each Arrow batch. fn may return one batch or several; of a generator one at a time is held."""
     ship_package(df.sparkSession)
+    module = fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_others(module)
         for b in batches:
             out = fn(b)
             for x in (out,) if isinstance(out, pa.RecordBatch) else out:

@@ -16,7 +16,6 @@ without any learned language all rows are `und`; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import re
 from dataclasses import dataclass
 
@@ -26,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of, per_batch
+from .common import fold_of, kept_by_worker, per_batch
 
 SAMPLE = 300
 DICTIONARY = 96 * 1024
@@ -80,7 +79,7 @@ def _dictionary(texts: list[str], size: int) -> bytes:
     return b"\n".join(out)
 
 
-@functools.lru_cache(maxsize=2)
+@kept_by_worker
 def _compressors(model: Model) -> list[zstandard.ZstdCompressor]:
     out = []
     for d in model.dictionaries:

@@ -183,6 +183,7 @@ def _shared_tokens(dealt: DataFrame, buckets: int, salt: int, homes: int) -> Dat
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, 1):
             tok, sig, n = entries(rows, 2)
+            rows.clear()  # copied; a bucket is held once
             df = counted(tok)
             keep = df > 1
             yield rehome(tok[keep], sig[keep], n[keep], df[keep])
@@ -229,6 +230,7 @@ def _sets_that_may_link(shared: DataFrame, homes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, 1):
             tok, sig, n, df = (np.concatenate([np.frombuffer(r[i], k) for r in rows]) for i, k in ((1, _U), (2, np.int64), (3, np.uint32), (4, np.uint32)))
+            rows.clear()
             order = np.lexsort((tok, df, sig))
             tok, sig, n = tok[order], sig[order], n[order]
             first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)

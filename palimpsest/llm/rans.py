@@ -19,7 +19,6 @@ text; an empty table gives no file; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import os
 import zlib
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import ship_package, stored
 
-from .common import in_slices
+from .common import in_slices, kept_by_worker
 
 MAGIC = b"PALRANS1"
 LANES, BLOCK, FILE_IDS = 64, 1 << 16, 1 << 21
@@ -248,7 +247,7 @@ class Tokens:
         return np.concatenate(pieces), lengths
 
 
-@functools.lru_cache(maxsize=2)
+@kept_by_worker
 def tokens(path: str) -> Tokens:
     return Tokens(path)
 

@@ -24,7 +24,6 @@ null ids stay null; repeated rows are encoded row by row; an empty table gives a
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 import struct
@@ -36,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Memo, cut_at_blanks, in_slices, per_batch
+from .common import Memo, cut_at_blanks, in_slices, kept_by_worker, per_batch
 from .piece_model import SPACE, PieceModel, merge
 from .token_counts import ODD
 
@@ -274,7 +273,7 @@ class Transducer:
         return out[1:] if self.model.dummy_prefix and out[:1] == b" " else out
 
 
-@functools.lru_cache(maxsize=2)
+@kept_by_worker
 def transducer(path: str) -> Transducer:
     return Transducer(path)
 

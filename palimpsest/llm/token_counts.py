@@ -10,7 +10,6 @@ an empty table gives an empty table; other columns are ignored, whatever their n
 
 from __future__ import annotations
 
-import functools
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, cut_at_blanks, in_slices, per_batch
+from .common import Memo, cut_at_blanks, in_slices, kept_by_worker, per_batch
 from .piece_model import SPACE, PieceModel, merge
 
 
@@ -61,7 +60,7 @@ class TokenCounter:
 ODD = f"^ |  |{SPACE}|\\x01"
 
 
-@functools.lru_cache(maxsize=2)
+@kept_by_worker
 def counter(path: str) -> TokenCounter:
     """One counter for each worker process."""
     return TokenCounter(path)

@@ -661,3 +661,24 @@ def test_arrow_cut():
     assert [[words[c] for c in codes[lo:hi]] for lo, hi in zip(starts, starts[1:], strict=False)] == [["a", " b"], [""], ["a"]]
     b = pa.RecordBatch.from_arrays([pa.array(["x" * 10, None, "y" * 30, "z"])], ["t"])
     assert [s.num_rows for s in in_slices(b, 0, 20)] == [2, 1, 1]
+
+
+def test_workers_drop_what_other_operators_keep(spark, sample):
+    """A worker's models and memos go once another operator's batches start in it; its own stay."""
+    from palimpsest.llm.common import free_others, per_batch
+
+    sp_fst.transducer(PIECES)
+    free_others("palimpsest.llm.sp_fst")
+    assert sp_fst.transducer.cache_info().currsize == 1
+    free_others("palimpsest.llm.ngram_join")
+    assert sp_fst.transducer.cache_info().currsize == 0
+
+    docs = table(spark, sample[:40]).repartition(4).select("doc_id", "text")
+    for _ in range(2):
+        sp_fst.encode(docs, PIECES).count()
+        sp_fst.encode(docs, PIECES).write.format("noop").mode("overwrite").save()
+
+    def left(b):
+        return pa.RecordBatch.from_arrays([pa.array([sp_fst.transducer.cache_info().currsize])], ["n"])
+
+    assert all(r.n == 0 for r in per_batch(docs, left, "n long").collect())
